@@ -4,15 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import sharding, winnowing
+from strata.llm import binary_output, hashing_index, sharding, winnowing
+
+#: Rows of an Arrow batch: texts may be long, so few of them travel together.
+ARROW_ROWS = "1000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_output.encode_and_read_back(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_hashing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing_index.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -21,6 +34,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_winnowing, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_binary_output, op8_hashing_index, op9_winnowing, op10_sharding)
+}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import binary_output, hashing_index, sharding, winnowing
+from strata.llm import binary_output, hashing_index, language_id, sharding, winnowing
 
 #: Rows of an Arrow batch: texts may be long, so few of them travel together.
 ARROW_ROWS = "1000"
@@ -22,6 +22,10 @@ def op1_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.encode_and_read_back(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(table(spark, sf_dir, "documents"))
+
+
 def op8_hashing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing_index.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -35,7 +39,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_binary_output, op8_hashing_index, op9_winnowing, op10_sharding)
+    f.__name__: f for f in (op1_binary_output, op2_language_id, op8_hashing_index, op9_winnowing, op10_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import binary_output, hashing_index, language_id, parity_join, sharding, winnowing
+from strata.llm import binary_output, hashing_index, language_id, parity_join, sharding, suffix_dedup, winnowing
 
 #: Rows of an Arrow batch: texts may be long, so few of them travel together.
 ARROW_ROWS = "1000"
@@ -30,6 +30,10 @@ def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op8_hashing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing_index.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -43,7 +47,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_binary_output, op2_language_id, op4_parity_join, op8_hashing_index, op9_winnowing, op10_sharding)
+    f.__name__: f for f in (op1_binary_output, op2_language_id, op4_parity_join, op5_suffix_dedup, op8_hashing_index, op9_winnowing, op10_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {}

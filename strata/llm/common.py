@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +15,21 @@ from pyspark.sql.window import Window
 #: A side is broadcast only if it has been counted and holds no more rows than this (of at most a few longs each).
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of an Arrow batch.
+ARROW_ROWS = "1000"
+
 _made: list[tuple[SparkSession, str]] = []
 
 
+def prepare(spark: SparkSession) -> None:
+    """Python workers find this package, and Arrow batches stay small, for texts may be long."""
+    root = str(Path(__file__).resolve().parents[2])
+    own = spark.sparkContext.environment
+    if root not in own.get("PYTHONPATH", "").split(os.pathsep):
+        own["PYTHONPATH"] = os.pathsep.join(filter(None, [root, own.get("PYTHONPATH")]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 

@@ -1,21 +1,405 @@
-"""Named queries over the driver's tables with their SQL counterparts."""
+"""Named queries over the driver's tables, with the SQL that gives the same rows.
+
+Tables become grids as strata.grid says; their values are whole numbers, so sums don't depend on their order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata import grid
+from strata.functions import scalar
+from strata.operators import aggregate as A
+from strata.operators import geometry, labels, plugins, point, predicate, region, window
+from strata.streaming import tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The grid of strata.grid.embedding_image.
+IMG = """e AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS v FROM embeddings),
+vox AS (SELECT CAST(vec_id // 50 AS INT) AS z, CAST(vec_id % 50 AS INT) AS y, CAST(i AS INT) AS x, floor(CAST(v AS DOUBLE) * 255) + 128 AS src,
+  CAST(CAST(((CAST(floor(CAST(v AS DOUBLE) * 255) AS BIGINT) + 128) * 3 % 256 + 256) % 256 AS BIGINT) AS DOUBLE) AS tgt,
+  CAST(CASE WHEN floor(CAST(v AS DOUBLE) * 255) + 128 > 110 THEN label + 1 ELSE 0 END AS INT) AS tis FROM e)"""
+#: That of strata.grid.lineitem_grid, and the same with zeros where there is no row.
+LI = """li AS (SELECT CAST(l_linenumber AS INT) AS z, CAST(l_suppkey % 64 AS INT) AS y, CAST(l_partkey % 64 AS INT) AS x, sum(l_quantity) AS src FROM lineitem GROUP BY 1, 2, 3)"""
+FULL = LI + """, vox AS (SELECT CAST(c.z AS INT) AS z, CAST(c.i // 64 AS INT) AS y, CAST(c.i % 64 AS INT) AS x, coalesce(li.src, 0.0) AS src
+  FROM (SELECT z, i FROM range(1, 8) a(z), range(0, 4096) b(i)) c LEFT JOIN li ON li.z = c.z AND li.y = c.i // 64 AND li.x = c.i % 64)"""
+TISSUES = "tissues AS (SELECT CAST(n_nationkey + 1 AS INT) AS id, n_name AS name, n_regionkey = 1 AS locked FROM nation)"
+TREE = """tree AS (SELECT 'R' || r_regionkey AS id, CAST(NULL AS VARCHAR) AS parent FROM region
+  UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation)"""
+
+ALL = "z, y, x, src, tgt, tis"
+LEAD = {f"{a}{s}": f"lead({{0}}, {n}) OVER (PARTITION BY z, {'y' if a == 'x' else 'x'} ORDER BY {a})" for a in "xy" for s, n in (("p", 1), ("m", -1))}
+
+
+def img(spark: SparkSession, sf: str) -> DataFrame:
+    return grid.embedding_image(spark, sf)
+
+
+def li(spark: SparkSession, sf: str) -> DataFrame:
+    return grid.dense(grid.lineitem_grid(spark, sf), (1, 8), 64, 64, src=0.0)
+
+
+def layers(spark: SparkSession, sf: str) -> DataFrame:
+    return li(spark, sf).withColumns({"tgt": F.when(F.col("src") > 100, 255.0).otherwise(0.0), "tis": F.when(F.col("src") > 60, F.col("z")).otherwise(0)})
+
+
+LAYERS = FULL + ", lay AS (SELECT z, y, x, src, CASE WHEN src > 100 THEN 255.0::DOUBLE ELSE 0.0::DOUBLE END AS tgt, CASE WHEN src > 60 THEN z ELSE 0 END AS tis FROM vox)"
+
+
+def tissues(spark: SparkSession, sf: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    return n.select((F.col("n_nationkey") + 1).cast("int").alias("id"), F.col("n_name").alias("name"), (F.col("n_regionkey") == 1).alias("locked"))
+
+
+def tree(spark: SparkSession, sf: str) -> DataFrame:
+    r, n = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("region", "nation"))
+    return r.select(F.concat(F.lit("R"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent")).unionByName(
+        n.select(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.concat(F.lit("R"), "n_regionkey").alias("parent"))
+    )
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts", "user_id", "event_type", F.floor("value").cast("double").alias("value"))
+
+
+EVENTS = "ev AS (SELECT event_id, ts, user_id, event_type, floor(value) AS value FROM events)"
+
+
+def marks(spark: SparkSession, sf: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return o.where("o_orderkey <= 4000").select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 7).cast("int").alias("z"), (F.col("o_custkey") % 64).cast("int").alias("x"), (F.col("o_orderkey") * 7 % 64).cast("int").alias("y"), F.col("o_custkey").alias("mark"), F.col("o_orderpriority").alias("name"))
+
+
+MARKS = """marks AS (SELECT o_orderkey AS seq, CAST(o_orderkey % 7 AS INT) AS z, CAST(o_custkey % 64 AS INT) AS x, CAST(o_orderkey * 7 % 64 AS INT) AS y, o_custkey AS mark, o_orderpriority AS name FROM orders WHERE o_orderkey <= 4000)"""
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Threshold, labels where it is brightest, volume and extent of every class."""
+    t = predicate.threshold(grid.lineitem_grid(spark, sf_dir), [60, 120])
+    return t.groupBy("tgt").agg(F.count("*").alias("n"), (F.count("*") * 0.5).alias("volume"), *[f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))])
+
+
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def add(name: str, query: Query, sql: str | None = None, *ctes: str) -> None:
+    _queries[name] = query
+    if sql is not None:
+        _sql[name] = f"WITH {', '.join(ctes)} {sql}" if ctes else sql
+
+
+def on_image(name: str, op: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
+    add(name, lambda s, d, op=op: op(img(s, d)), sql, IMG)
+
+
+def with_column(name: str, op: Callable[[DataFrame], DataFrame], col: str, expr: str) -> None:
+    """A query that only changes one column of the image view."""
+    cols = ", ".join(f"{expr} AS {c}" if c == col else c for c in ALL.split(", "))
+    on_image(name, op, f"SELECT {cols} FROM vox")
+
+
+def line(col: str, axis: str, step: int) -> str:
+    rest = ", ".join(c for c in ("z", "y", "x") if c != axis)
+    return f"{'lead' if step > 0 else 'lag'}({col}, {abs(step)}) OVER (PARTITION BY {rest} ORDER BY {axis})"
+
+
+def build() -> None:
+    add("flagship_threshold_volume", flagship, "SELECT CASE WHEN src <= 60 THEN 0.0::DOUBLE WHEN src <= 120 THEN 127.5::DOUBLE ELSE 255.0::DOUBLE END AS tgt, count(*) AS n, count(*) * 0.5::DOUBLE AS volume, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM li GROUP BY 1", LI)
+    on_image("grid_embedding_image", lambda v: v, f"SELECT {ALL} FROM vox")
+    add("grid_lineitem_dense", li, "SELECT * FROM vox", FULL)
+    on_image("grid_slices_round_trip", lambda v: grid.to_voxels(grid.to_slices(v)), f"SELECT {ALL} FROM vox")
+
+    # Projections
+    with_column("proj01_absolute", lambda v: point.absolute(v.withColumn("tgt", F.col("tgt") - 100)), "tgt", "abs(tgt - 100)")
+    with_column("proj02_negative", point.negative, "tgt", "255 - tgt")
+    with_column("proj03_add_source", point.add_source, "tgt", "tgt + src")
+    with_column("proj04_subtract_source", point.subtract_source, "tgt", "tgt - src")
+    with_column("proj05_add", lambda v: point.add(v, 12), "tgt", "tgt + 12")
+    with_column("proj06_multiply", point.multiply, "tgt", "tgt * src")
+    with_column("proj06_multiply_constant", lambda v: point.multiply(v, 2.5), "tgt", "tgt * 2.5::DOUBLE")
+    with_column("proj07_overlay", lambda v: point.overlay(v, 0.25), "tgt", "src * 0.25::DOUBLE + tgt * 0.75::DOUBLE")
+    with_column("proj08_transparent_add", lambda v: point.transparent_add(v.withColumn("tgt", F.when(F.col("tgt") < 128, 0.0).otherwise(F.col("tgt"))), v, "src").select(*ALL.split(", ")), "tgt", "CASE WHEN tgt < 128 THEN src ELSE tgt END")
+    with_column("proj09_scale_colors", lambda v: point.scale_colors(v, 64, 192), "tgt", "(tgt - 64) * 255 / 128::DOUBLE")
+    with_column("proj10_crop_colors", lambda v: point.crop_colors(v.withColumn("tgt", F.col("tgt") * 2 - 100)), "tgt", "least(greatest(tgt * 2 - 100, 0.0::DOUBLE), 255.0::DOUBLE)")
+    with_column("proj11_to_grey", lambda v: point.to_grey(v.withColumn("tgt", F.col("tgt") * 1.5 - 50)), "tgt", "floor(least(255.0::DOUBLE, greatest(0.0::DOUBLE, tgt * 1.5::DOUBLE - 50 + 0.5::DOUBLE)))")
+    with_column("proj12_copy_layer", point.copy_layer, "src", "tgt")
+    on_image("proj13_swap_layers", point.swap_layers, "SELECT z, y, x, tgt AS src, src AS tgt, tis FROM vox")
+    with_column("proj14_target_to_label", lambda v: point.target_to_label(v.withColumn("tgt", F.col("tgt") - 50)).withColumn("tgt", F.col("tgt") + 50), "tis", "CAST(least(greatest(floor(tgt - 50 + 0.5::DOUBLE), 0), 65535) AS INT)")
+    with_column("proj15_merge_label", lambda v: point.merge_label(v, 9), "tis", "CASE WHEN tgt > 0 THEN 9 ELSE tis END")
+    with_column("proj16_label_to_target", lambda v: point.label_to_target(v, [1, 3, 5]), "tgt", "CASE WHEN tis IN (1, 3, 5) THEN tis::DOUBLE ELSE 0.0::DOUBLE END")
+    with_column("proj17_assign", lambda v: point.assign(v, v.where("x < 10").select("z", "y", "x", F.lit(1.0).alias("tgt")), "tgt", F.col("tis") > 0), "tgt", "CASE WHEN x < 10 AND tis > 0 THEN 1.0::DOUBLE ELSE tgt END")
+    on_image("proj17_padded", lambda v: point.padded(v, "src", 50, 64), "SELECT c.z, CAST(c.i // 66 AS INT) AS y, CAST(c.i % 66 AS INT) AS x, coalesce(v.src, 0.0) AS src FROM (SELECT DISTINCT z, i FROM vox, range(0, 3432) r(i)) c LEFT JOIN vox v ON v.z = c.z AND v.y + 1 = c.i // 66 AND v.x + 1 = c.i % 66")
+    with_column("proj18_clear", lambda v: point.clear(v, "tis"), "tis", "0")
+    with_column("proj19_set_point", lambda v: point.set_point(v, "src", 1, 2, 3, 7.0), "src", "CASE WHEN z = 1 AND y = 2 AND x = 3 THEN 7.0::DOUBLE ELSE src END")
+    on_image("proj19_flat_index", lambda v: point.flat_index(v, 64).select("z", "idx", "src"), "SELECT z, x + y * 64 AS idx, src FROM vox")
+    on_image("proj20_layer", lambda v: point.layer(v, "tis"), "SELECT z, y, x, tis FROM vox")
+    on_image("proj21_modes", lambda v: point.with_mode(v, 1, 2).select("z", "mode_src", "mode_tgt").distinct(), "SELECT DISTINCT z, 1 AS mode_src, 2 AS mode_tgt FROM vox")
+    on_image("proj22_dims", point.dims, "SELECT max(x) + 1 AS w, max(y) + 1 AS h, max(z) - min(z) + 1 AS n, min(z) AS start_z, max(z) + 1 AS end_z FROM vox")
+    on_image("proj22_active", lambda v: point.active(v, 1, 3), f"SELECT {ALL} FROM vox WHERE z >= 1 AND z < 3")
+    on_image("proj23_reslice_x", lambda v: point.reslice(v, "x", 5), "SELECT z AS row, y AS col, src AS value FROM vox WHERE x = 5")
+    on_image("proj24_swap_axes", lambda v: point.swap_axes(v, "x", "y"), "SELECT z, x AS y, y AS x, src, tgt, tis FROM vox")
+    on_image("proj24_reverse_slices", lambda v: point.reverse_slices(v, 10), "SELECT 9 - z AS z, y, x, src, tgt, tis FROM vox")
+    moved = "SELECT a.z, a.y, a.x, coalesce(b.src, 0.0) AS src, a.tgt, a.tis FROM vox a LEFT JOIN vox b ON b.z = a.z AND "
+    on_image("proj25_translate", lambda v: point.transform_slices(v, point.translation(3, -2)), moved + "b.x = a.x - 3 AND b.y = a.y + 2")
+    on_image("proj25_flip", lambda v: point.transform_slices(v, point.flip("x", 64)), moved + "b.x = 63 - a.x AND b.y = a.y")
+    on_image("proj25_scale", lambda v: point.transform_slices(v, point.scaling(2, 2)), moved + "b.x = floor(a.x * 0.5::DOUBLE + 0.5::DOUBLE) AND b.y = floor(a.y * 0.5::DOUBLE + 0.5::DOUBLE)")
+    on_image("proj26_reorient", lambda v: point.reorient(v, "RAS", "PSL", {"x": 64, "y": 50, "z": 10}), "SELECT 63 - x AS z, z AS y, 49 - y AS x, src, tgt, tis FROM vox")
+    on_image("proj27_to_world", lambda v: point.to_world(v.where("x < 8"), [0, -1, 0, 5, 1, 0, 0, 6, 0, 0, 2, 7, 0, 0, 0, 1]).select("z", "y", "x", "wx", "wy", "wz"), "SELECT z, y, x, x * 0.0::DOUBLE + y * -1.0::DOUBLE + z * 0.0::DOUBLE + 5 AS wx, x * 1.0::DOUBLE + 6 AS wy, z * 2.0::DOUBLE + 7 AS wz FROM vox WHERE x < 8")
+    with_column("proj28_brush", lambda v: point.brush(v, "tis", 20, 25, 6, 8, z=1, dy=0.5, locked=[3]), "tis", "CASE WHEN z = 1 AND tis <> 3 AND (x - 20) * (x - 20) + 0.25 * (y - 25) * (y - 25) <= 36 THEN 8 ELSE tis END")
+    add("proj29_line_points", lambda s, d: point.line_points(marks(s, d).where("z = 0").select(F.col("seq").alias("id"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))), "SELECT seq AS id, CAST(k AS INT) AS k, CAST(CASE WHEN n = 0 THEN 0 ELSE (2 * k * x + n) // (2 * n) END AS INT) AS x, CAST(CASE WHEN n = 0 THEN 0 ELSE (2 * k * y + n) // (2 * n) END AS INT) AS y FROM (SELECT seq, x, y, n, unnest(range(0, n + 1)) AS k FROM (SELECT seq, x, y, greatest(x, y) AS n FROM marks WHERE z = 0))", MARKS)
+    on_image("proj30_color_lookup", lambda v: point.color_lookup(v, v.sparkSession.range(6).select(F.col("id").cast("int").alias("id"), (F.col("id") * 10).alias("r"), (F.col("id") * 20).alias("g"), (F.col("id") * 30).alias("b"))).select("z", "y", "x", "r", "g", "b"), "SELECT z, y, x, CASE WHEN tis < 6 THEN tis * 10::BIGINT END AS r, CASE WHEN tis < 6 THEN tis * 20::BIGINT END AS g, CASE WHEN tis < 6 THEN tis * 30::BIGINT END AS b FROM vox")
+    on_image("proj31_hsl_round_trip", lambda v: point.from_hsl(point.to_hsl(v.where("z = 0").select("y", "x", (F.pmod("src", F.lit(256.0)) / 255).alias("r"), (F.col("tgt") / 255).alias("g"), (F.col("tis") / 10).alias("b")))).select("y", "x", *[F.round(F.col(c) * 1000).cast("int").alias(c) for c in "rgb"]), "SELECT y, x, CAST(round(((src % 256 + 256) % 256) / 255 * 1000) AS INT) AS r, CAST(round(tgt / 255 * 1000) AS INT) AS g, CAST(round(tis / 10 * 1000) AS INT) AS b FROM vox WHERE z = 0")
+    with_column("proj32_erase", lambda v: point.erase(v, F.col("x") > 30, "tis", [2]), "tis", "CASE WHEN x > 30 AND tis <> 2 THEN 0 ELSE tis END")
+    on_image("proj33_shift", lambda v: point.shift(v, 4, 5, 50, 64), "SELECT a.z, a.y, a.x, a.src, a.tgt, coalesce(b.tis, 0) AS tis FROM vox a LEFT JOIN vox b ON b.z = a.z AND b.x = a.x - 4 AND b.y = a.y - 5")
+    on_image("scan03_grey_weights", lambda v: point.grey_weights(v.select("z", "y", "x", F.col("src").alias("r"), F.col("tgt").alias("g"), F.col("tis").alias("b")), 0.25, 0.5, 0.25).select("z", "y", "x", "grey"), "SELECT z, y, x, src * 0.25::DOUBLE + tgt * 0.5::DOUBLE + tis * 0.25::DOUBLE AS grey FROM vox")
+    on_image("scan19_channel", lambda v: point.channel(v.select("z", "y", "x", F.array("src", "tgt").alias("channels")), 1), "SELECT z, y, x, tgt AS src FROM vox")
+
+    # Filters
+    with_column("filt01_threshold", lambda v: predicate.threshold(v, [100, 128, 150]), "tgt", "CASE WHEN src <= 100 THEN 0 WHEN src <= 128 THEN 1 WHEN src <= 150 THEN 2 ELSE 3 END * 255.0::DOUBLE / 3")
+    with_column("filt01_threshold_unsorted", lambda v: predicate.threshold(v, [130, 100]), "tgt", "CASE WHEN src <= 130 THEN 0 WHEN src <= 100 THEN 1 ELSE 2 END * 255.0::DOUBLE / 2")
+    on_image("filt02_tile_threshold", lambda v: predicate.tile_threshold(v, 50, 64, 4, 2, 3, 0.5), None)
+    with_column("filt03_add_label", lambda v: predicate.add_label(predicate.threshold(v, [110]), 7, 255.0, True, [2, 4]).withColumn("tgt", F.col("src") * 0), "tis", "CASE WHEN src > 110 AND tis NOT IN (2, 4) THEN 7 ELSE tis END")
+    _sql["filt03_add_label"] = _sql["filt03_add_label"].replace("src, tgt, CASE", "src, src * 0 AS tgt, CASE")
+    with_column("filt03_add_label_background", lambda v: predicate.add_label_at(v, 7, 0, 0, 0), "tis", "CASE WHEN tgt = (SELECT tgt FROM vox WHERE z = 0 AND y = 0 AND x = 0) AND tis = 0 THEN 7 ELSE tis END")
+    with_column("filt04_add_label_above", lambda v: predicate.add_label_above(v, 7, 200), "tis", "CASE WHEN tgt >= 200 THEN 7 ELSE tis END")
+    with_column("filt05_subtract_label", lambda v: predicate.subtract_label(v, 3, 128), "tis", "CASE WHEN tgt = 128 AND tis = 3 THEN 0 ELSE tis END")
+    with_column("filt06_clear_label", lambda v: predicate.clear_label(v, 3), "tis", "CASE WHEN tis = 3 THEN 0 ELSE tis END")
+    with_column("filt07_mask_source", lambda v: predicate.mask_source(v, [1, 2], -1), "src", "CASE WHEN tis NOT IN (1, 2) THEN -1.0::DOUBLE ELSE src END")
+    with_column("filt08_cap_label", lambda v: predicate.cap_label(v, 5), "tis", "CASE WHEN tis > 5 THEN 0 ELSE tis END")
+    add("filt09_has_label", lambda s, d: predicate.has_label(layers(s, d), 3), "SELECT z, max(CASE WHEN tis = 3 THEN 1 ELSE 0 END) = 1 AS found FROM lay GROUP BY z", LAYERS)
+    add("filt10_next_slice_with", lambda s, d: predicate.next_slice_with(layers(s, d), 2, 4), "SELECT z FROM (SELECT DISTINCT z FROM lay WHERE tis = 2) ORDER BY CASE WHEN z > 4 THEN 0 ELSE 1 END, z LIMIT 1", LAYERS)
+    add("filt12_bounding_box", lambda s, d: predicate.bounding_box(layers(s, d), F.col("src") > 150), "SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM lay WHERE src > 150", LAYERS)
+
+    # Joins, sorts and sets
+    pairs = lambda s: s.range(1, 7).select(F.col("id").cast("int").alias("old"), (F.col("id") * 10 % 7).cast("int").alias("new"))
+    with_column("join01_map_labels", lambda v: labels.map_labels(v, pairs(v.sparkSession)).select(*ALL.split(", ")), "tis", "CASE WHEN tis BETWEEN 1 AND 6 THEN tis * 10 % 7 ELSE tis END")
+    add("join02_group_labels", lambda s, d: labels.map_labels(layers(s, d), s.createDataFrame([(1, 5, 0), (2, 6, 1), (1, 7, 2)], "old int, new int, pos int"), order="pos").select("z", "y", "x", "tis"), "SELECT z, y, x, CASE tis WHEN 1 THEN 7 WHEN 2 THEN 6 ELSE tis END AS tis FROM lay", LAYERS)
+    with_column("join03_remove_label", lambda v: labels.remove_label(v, 4), "tis", "CASE WHEN tis = 4 THEN 0 WHEN tis > 4 THEN tis - 1 ELSE tis END")
+    add("join04_compact", lambda s, d: labels.compact(tissues(s, d), tissues(s, d).where("locked")), "SELECT id AS old, CAST(CASE WHEN locked THEN 0 ELSE sum(CASE WHEN locked THEN 0 ELSE 1 END) OVER (ORDER BY id) END AS INT) AS new FROM tissues", TISSUES)
+    add("join04_remove_labels", lambda s, d: labels.remove_labels(img(s, d), tissues(s, d), tissues(s, d).where("locked")).groupBy("tis").agg(F.count("*").alias("n")), "SELECT tis, count(*) AS n FROM (SELECT coalesce(m.new, v.tis) AS tis FROM vox v LEFT JOIN (SELECT id AS old, CAST(CASE WHEN locked THEN 0 ELSE sum(CASE WHEN locked THEN 0 ELSE 1 END) OVER (ORDER BY id) END AS INT) AS new FROM tissues) m ON m.old = v.tis) GROUP BY tis", IMG, TISSUES)
+    with_column("join05_remove_all", lambda v: labels.remove_all(v)[0], "tis", "0")
+    add("join06_with_missing", lambda s, d: labels.with_missing(tissues(s, d).select("id", "name", *[F.lit(0.5).alias(c) for c in "rgb"]), 60).select("id", "name", *[F.round(c, 6).alias(c) for c in "rgb"]), "SELECT id, name, 0.5::DOUBLE AS r, 0.5::DOUBLE AS g, 0.5::DOUBLE AS b FROM tissues UNION ALL SELECT CAST(i AS INT), 'Tissue' || i, round(((i - 1) % 7) * 0.166666666::DOUBLE, 6), round((((i - 1) // 7) % 7) * 0.166666666::DOUBLE, 6), round(((i - 1) // 49) * 0.19::DOUBLE, 6) FROM range(26, 61) t(i)", TISSUES)
+    add("join07_unused", lambda s, d: labels.unused(tissues(s, d), img(s, d)), "SELECT * FROM tissues WHERE id NOT IN (SELECT tis FROM vox)", IMG, TISSUES)
+    add("join08_ids_by_name", lambda s, d: labels.ids_by_name(s.createDataFrame([("france",), ("Kenya",), ("nowhere",)], "name string"), tissues(s, d)), "SELECT n.name, coalesce(t.id, 0) AS id FROM (VALUES ('france'), ('Kenya'), ('nowhere')) n(name) LEFT JOIN tissues t ON lower(t.name) = lower(n.name)", TISSUES)
+    add("join08_locks", lambda s, d: labels.locks(s.range(0, 40, 3).select(F.col("id").cast("int").alias("id")), tissues(s, d)), "SELECT CAST(i AS INT) AS id, coalesce(t.locked, false) AS locked FROM range(0, 40, 3) r(i) LEFT JOIN tissues t ON t.id = i", TISSUES)
+    add("join09_descendants", lambda s, d: labels.descendants(tree(s, d)), "SELECT ancestor, id, depth FROM d", f"RECURSIVE {TREE}", "d(ancestor, id, depth) AS (SELECT id, id, 0 FROM tree UNION ALL SELECT d.ancestor, t.id, d.depth + 1 FROM d JOIN tree t ON t.parent = d.id)")
+    add("join09_rolled_up", lambda s, d: labels.rolled_up(tree(s, d), s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("N"), "c_nationkey").alias("id"), F.floor("c_acctbal").alias("v")), "v"), "SELECT ancestor, CAST(sum(v) AS BIGINT) AS total, count(*) AS n FROM d JOIN (SELECT 'N' || c_nationkey AS id, CAST(floor(c_acctbal) AS BIGINT) AS v FROM customer) c USING (id) GROUP BY ancestor", f"RECURSIVE {TREE}", "d(ancestor, id, depth) AS (SELECT id, id, 0 FROM tree UNION ALL SELECT d.ancestor, t.id, d.depth + 1 FROM d JOIN tree t ON t.parent = d.id)")
+    add("join10_all_marks", lambda s, d: labels.all_marks(marks(s, d), named=True), "SELECT z, x, y, mark, name FROM marks WHERE name <> ''", MARKS)
+    add("join11_remove_mark", lambda s, d: labels.remove_mark(marks(s, d), 3, 20, 20, 9), "SELECT * FROM marks WHERE seq NOT IN (SELECT min(seq) FROM marks WHERE z = 3 AND (x - 20) * (x - 20) + (y - 20) * (y - 20) <= 81)", MARKS)
+    add("join12_add_strokes", lambda s, d: labels.add_marks(marks(s, d).where("z = 0"), marks(s, d).where("z = 1")), "SELECT * FROM marks WHERE z IN (0, 1)", MARKS)
+    objects = "SELECT z, seq AS id, x AS cx, y AS cy, mark % 9 AS size FROM marks"
+    add("join13_match_objects", lambda s, d: labels.match_objects(marks(s, d).select("z", F.col("seq").alias("id"), F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"), (F.col("mark") % 9).alias("size")), 3.0).select("z", "id", "next_id", F.round("score", 6).alias("score")), f"SELECT z, id, next_id, round(score, 6) AS score FROM (SELECT a.z, a.id, b.id AS next_id, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) + abs(a.size - b.size) AS score, row_number() OVER (PARTITION BY a.z, a.id ORDER BY sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) + abs(a.size - b.size), b.id) AS rn FROM ({objects}) a JOIN ({objects}) b ON b.z = a.z + 1 AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 9) WHERE rn = 1", MARKS)
+    near = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
+    add("join14_mutual_nearest", lambda s, d: labels.mutual_nearest(*[marks(s, d).where(f"z = {z} and seq < 500").select(F.col("seq").alias("id"), F.col("x").alias("cx"), F.col("y").alias("cy")) for z in (0, 1)]), f"SELECT a, b FROM (SELECT a.seq AS a, b.seq AS b, row_number() OVER (PARTITION BY a.seq ORDER BY {near}, b.seq) AS ra, row_number() OVER (PARTITION BY b.seq ORDER BY {near}, a.seq) AS rb FROM marks a, marks b WHERE a.z = 0 AND b.z = 1 AND a.seq < 500 AND b.seq < 500) WHERE ra = 1 AND rb = 1", MARKS)
+    touch = " UNION ALL ".join(f"SELECT least(a.tis, b.tis) AS a, greatest(a.tis, b.tis) AS b FROM lay a JOIN lay b ON " + " AND ".join(f"b.{c} = a.{c}{' + 1' if c == axis else ''}" for c in "zyx") + " WHERE a.tis > 0 AND b.tis > 0 AND a.tis <> b.tis" for axis in "xyz")
+    add("join15_touching", lambda s, d: labels.touching(layers(s, d)), f"SELECT a, b, count(*) AS n FROM ({touch}) GROUP BY a, b", LAYERS)
+    names = [(1, "Bone_cortical"), (2, "Bone_cancellous"), (3, "Fat"), (4, "Tooth"), (5, "Marrow_x"), (6, "Muscle"), (7, "Jaw bone")]
+    folded = touch.replace("FROM lay a JOIN lay b", "FROM bones a JOIN bones b")
+    add("join15_bone_connections", lambda s, d: labels.bone_connections(layers(s, d), s.createDataFrame(names, "id int, name string")), f"SELECT a, b, count(*) AS n FROM ({folded}) GROUP BY a, b", LAYERS, "bones AS (SELECT z, y, x, CASE WHEN tis = 2 THEN 1 ELSE tis END AS tis FROM lay WHERE tis IN (1, 2, 4, 5, 7))")
+    add("join16_layer_of", lambda s, d: labels.layer_of(layers(s, d).withColumn("layer", F.col("z") % 2), s.createDataFrame([(0, "even"), (1, "odd")], "layer int, name string"), "odd").select("z", "y", "x", "tis"), "SELECT z, y, x, tis FROM lay WHERE z % 2 = 1", LAYERS)
+    on_image("sort01_bucket_order", lambda v: labels.bucket_order(v, 64, 50).select("z", "idx", "rank"), "SELECT z, x + y * 64 AS idx, CAST(row_number() OVER (PARTITION BY z ORDER BY floor(least(255.0, greatest(0.0, src + 0.5))), x + y * 64) AS INT) AS rank FROM vox")
+    on_image("sort02_smallest", lambda v: labels.smallest(point.flat_index(v, 64).withColumn("k", F.col("z") * 3200 + F.col("idx")), "src", "k", 20).select("z", "y", "x", "src"), "SELECT z, y, x, src FROM vox ORDER BY src, z * 3200 + x + y * 64 LIMIT 20")
+    add("sort05_ordered", lambda s, d: labels.ordered(tissues(s, d)), "SELECT * FROM tissues ORDER BY name, id", TISSUES)
+    sizes = "SELECT l_linenumber AS comp, count(*) AS n FROM lineitem GROUP BY 1"
+    comp = lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_linenumber").alias("comp")).agg(F.count("*").alias("n"))
+    add("sort04_split_label", lambda s, d: labels.split_label(comp(s, d), 3, 100, 4), f"SELECT comp, n, CAST(CASE WHEN rn = 1 THEN 3 ELSE 100 + least(rn - 2, 3) END AS INT) AS new FROM (SELECT *, row_number() OVER (ORDER BY n DESC, comp DESC) AS rn FROM ({sizes}))")
+    add("sort06_large_components", lambda s, d: labels.large_components(comp(s, d), 1000), f"SELECT comp, n, CAST(row_number() OVER (ORDER BY n DESC, comp) AS INT) AS new FROM ({sizes}) WHERE n >= 1000")
+    add("set01_combined_selection", lambda s, d: labels.combined_selection(*[layers(s, d).groupBy("z").agg(F.bool_or(F.col(c) > t).alias("work"), F.bool_or(F.col("tis") == k).alias("tissues")) for c, t, k in (("src", 200, 1), ("tgt", 0, 2))]), "SELECT z, max(src) > 200 OR max(tgt) > 0 AS work, max(CASE WHEN tis IN (1, 2) THEN 1 ELSE 0 END) = 1 AS tissues FROM lay GROUP BY z", LAYERS)
+    on_image("set02_selection", lambda v: labels.selection(v, "tis"), "SELECT DISTINCT tis FROM vox ORDER BY tis")
+    add("set03_undirected", lambda s, d: labels.undirected(marks(s, d).select((F.col("mark") % 50).alias("src"), (F.col("seq") % 50).alias("dst"))), "SELECT DISTINCT least(mark % 50, seq % 50) AS src, greatest(mark % 50, seq % 50) AS dst FROM marks", MARKS)
+    add("set04_union_ids", lambda s, d: labels.union_ids(tissues(s, d), img(s, d).select(F.col("tis").alias("id"))), "SELECT id FROM tissues UNION SELECT tis FROM vox", IMG, TISSUES)
+    add("set05_drop_tissue", lambda s, d: labels.drop_tissue(tissues(s, d), tissues(s, d).where("locked")), "SELECT * FROM tissues WHERE NOT locked", TISSUES)
+
+    # Aggregates
+    on_image("agg01_histogram", A.histogram, "SELECT CAST(floor(tgt) AS INT) AS bin, count(*) AS n FROM vox WHERE tgt >= 0 AND tgt < 256 GROUP BY 1")
+    on_image("agg01_histogram_clamped", lambda v: A.histogram(v.withColumn("tgt", F.col("tgt") * 2 - 100), clamp=True), "SELECT CAST(floor(least(greatest(tgt * 2 - 100, 0.0), 255.0)) AS INT) AS bin, count(*) AS n FROM vox GROUP BY 1")
+    on_image("agg01_out_of_range", lambda v: A.out_of_range(v.withColumn("tgt", F.col("tgt") * 2 - 100)), "SELECT count(*) AS n FROM vox WHERE tgt * 2 - 100 < 0 OR tgt * 2 - 100 >= 256")
+    hist = "full_hist AS (SELECT CAST(i AS INT) AS bin, coalesce(n, 0) AS n FROM range(0, 256) r(i) LEFT JOIN (SELECT floor(tgt) AS b, count(*) AS n FROM vox GROUP BY 1) ON b = i)"
+    add("agg02_smooth_histogram", lambda s, d: A.smooth_histogram(A.histogram(img(s, d)), [1, 2, 1]), "SELECT bin, CAST(floor((coalesce(lag(n) OVER w, 0) + 2 * n + coalesce(lead(n) OVER w, 0)) / CAST(2 + CASE WHEN bin > 0 THEN 1 ELSE 0 END + CASE WHEN bin < 255 THEN 1 ELSE 0 END AS DOUBLE) + 0.5) AS BIGINT) AS n FROM full_hist WINDOW w AS (ORDER BY bin)", IMG, hist)
+    add("agg03_modal_cuts", lambda s, d: s.createDataFrame([(int(c),) for c in A.modal_cuts(A.histogram(img(s, d), "src"), 20, 0.8)], "cut int"))
+    on_image("agg04_compact_histogram", lambda v: A.compact_histogram(A.histogram(v, "src")), "SELECT *, CAST(row_number() OVER (ORDER BY bin) - 1 AS INT) AS new FROM (SELECT CAST(floor(src) AS INT) AS bin, count(*) AS n FROM vox WHERE src >= 0 AND src < 256 GROUP BY 1)")
+    on_image("agg05_value_range", lambda v: A.value_range(v, "src", True).select("low", "high"), "SELECT min(src) AS low, max(src) AS high FROM vox GROUP BY z")
+    on_image("agg06_mode_range", lambda v: A.mode_range(v, "src", v.select("z").distinct().withColumn("mode", F.when(F.col("z") % 2 == 0, 1).otherwise(2)), True), "SELECT coalesce(min(src), 255.0) AS low, greatest(max(src), 0.0) AS high FROM vox WHERE z % 2 = 0")
+    on_image("agg07_pixel_count", lambda v: A.pixel_count(v, "tis", 3), "SELECT z, count(*) FILTER (WHERE tis = 3) AS n FROM vox GROUP BY z")
+    on_image("agg08_volumes", lambda v: A.volumes(v, 0.5, 0.5, 2), "SELECT tis, count(*) AS n, count(*) * 0.5::DOUBLE AS volume FROM vox GROUP BY tis")
+    on_image("agg09_extents", A.extents, "SELECT tis, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM vox WHERE tis > 0 GROUP BY tis")
+    on_image("agg09_extents_by_slice", lambda v: A.extents(v, True), "SELECT z, tis, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM vox WHERE tis > 0 GROUP BY z, tis")
+    stat = "z, round(avg(src), 6) AS mean, round(CASE WHEN count(src) = 1 THEN 1e10 ELSE stddev_samp(src) END, 6) AS stddev, min(src) AS least, max(src) AS largest"
+    rounded = lambda v: v.select("z", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"), "least", "largest")
+    on_image("agg10_window_features", lambda v: rounded(A.window_features(v, 10, 5, 30, 20)), f"SELECT {stat} FROM vox WHERE x BETWEEN 10 AND 30 AND y BETWEEN 5 AND 20 GROUP BY z")
+    on_image("agg11_mask_features", lambda v: rounded(A.mask_features(v, F.col("tis") == 2)), f"SELECT {stat} FROM vox WHERE tis = 2 GROUP BY z")
+    add("agg12_component_sizes", lambda s, d: A.component_sizes(layers(s, d).withColumn("comp", F.col("x") % 5)), "SELECT tis, x % 5 AS comp, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY tis) AS BIGINT) AS total FROM lay GROUP BY tis, x % 5", LAYERS)
+    on_image("agg13_at_boundary", lambda v: A.at_boundary(v, "tgt", 255, 50, 64), "SELECT z, max(CASE WHEN (x = 0 OR y = 0 OR x = 63 OR y = 49) AND tgt = 255 THEN 1 ELSE 0 END) = 1 AS found FROM vox GROUP BY z")
+    ends = "SELECT seq, x AS x0, y AS y0, z AS z0, CAST(mark % 64 AS INT) AS x1, CAST(seq % 50 AS INT) AS y1, CAST(mark % 7 AS INT) AS z1, 10 AS x2, 20 AS y2, 3 AS z2 FROM marks"
+    three = lambda s, d: marks(s, d).select("seq", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("z").alias("z0"), (F.col("mark") % 64).cast("int").alias("x1"), (F.col("seq") % 50).cast("int").alias("y1"), (F.col("mark") % 7).cast("int").alias("z1"), F.lit(10).alias("x2"), F.lit(20).alias("y2"), F.lit(3).alias("z2"))
+    gap = {a: f"abs({a}1 - {a}0)" for a in "xyz"}
+    thick = {a: f"CASE WHEN {gap[a]} > 0 THEN {gap[a]} + 1 {'WHEN ' + gap['x'] + ' + ' + gap['y'] + ' + ' + gap['z'] + ' = 0 THEN 1' if a == 'x' else ''} ELSE 0 END" for a in "xyz"}
+    add("agg14_distances", lambda s, d: A.distances(three(s, d), 1, 1, 2).select("seq", F.round("distance", 6).alias("distance"), F.round("thickness", 6).alias("thickness")), f"SELECT seq, round(sqrt({gap['x']} * {gap['x']} + {gap['y']} * {gap['y']} + 4 * {gap['z']} * {gap['z']}), 6) AS distance, round(sqrt(({thick['x']}) * ({thick['x']}) + ({thick['y']}) * ({thick['y']}) + 4 * ({thick['z']}) * ({thick['z']})), 6) AS thickness FROM ({ends})", MARKS)
+    u, v = [f"({a}0 - {a}1)" for a in "xyz"], [f"({a}2 - {a}1)" for a in "xyz"]
+    sq = lambda p: " + ".join(f"{q} * {q}" for q in p)
+    add("agg14_angles", lambda s, d: A.angles(three(s, d), 1, 1, 1).select("seq", F.round("angle", 4).alias("angle")), f"SELECT seq, round(CASE WHEN a * b = 0 THEN 0.0 ELSE degrees(acos(least(greatest(c / (sqrt(a) * sqrt(b)), -1.0), 1.0))) END, 4) AS angle FROM (SELECT seq, CAST({sq(u)} AS DOUBLE) AS a, CAST({sq(v)} AS DOUBLE) AS b, CAST({' + '.join(f'{p} * {q}' for p, q in zip(u, v, strict=True))} AS DOUBLE) AS c FROM ({ends}))", MARKS)
+    add("agg15_object_features", lambda s, d: A.object_features(region.components(layers(s, d), masked=True).withColumn("comp", F.when(F.col("comp") >= 0, F.col("comp")))).groupBy("z").agg(F.count("*").alias("objects"), F.sum("size").alias("voxels"), F.sum("perimeter").alias("perimeter")))
+    add("agg16_softmax", lambda s, d: A.softmax(marks(s, d).where("seq < 1000").select("z", "seq", (F.col("mark") % 13).cast("double").alias("score")), ["z"], "score").select("seq", F.round("p", 8).alias("p")), "SELECT seq, round(CASE WHEN count(*) OVER (PARTITION BY z) = 1 THEN exp(-(mark % 13)) ELSE exp(-(mark % 13)) / sum(exp(-(mark % 13))) OVER (PARTITION BY z) END, 8) AS p FROM marks WHERE seq < 1000", MARKS)
+    centers = [[60.0, 200.0], [130.0, 100.0], [200.0, 20.0]]
+    dist = [f"((src - {a}) * (src - {a}) * 0.5 + (tgt - {b}) * (tgt - {b}) * 0.5)" for a, b in centers]
+    best = f"CASE WHEN {dist[0]} <= {dist[1]} AND {dist[0]} <= {dist[2]} THEN 0 WHEN {dist[1]} <= {dist[2]} THEN 1 ELSE 2 END"
+    on_image("agg17_apply_centers", lambda v: A.apply_centers(v, ["src", "tgt"], centers, [0.5, 0.5]).select("z", "y", "x", "tgt"), f"SELECT z, y, x, {best} * 127.5::DOUBLE AS tgt FROM vox")
+    on_image("agg20_classify", lambda v: A.classify(v, ["src", "tgt"], centers, [0.5, 0.5], 60).select("z", "y", "x", F.round("tgt", 6).alias("tgt")), f"SELECT z, y, x, round(CASE WHEN least({', '.join(dist)}) < 3600 THEN ({best} + 1) * 85.0::DOUBLE ELSE 0.0 END, 6) AS tgt FROM vox")
+    on_image("agg17_kmeans", lambda v: v.sparkSession.createDataFrame([(j, round(c[0], 4)) for j, c in enumerate(A.kmeans(v, ["src"], 3, rounds=4, centers=[[180.0], [128.0], [70.0]]))], "class int, center double"), "SELECT CAST(class AS INT) AS class, round(avg(src), 4) AS center FROM asg4 GROUP BY class")
+    cte, before = [IMG], "SELECT * FROM (VALUES (0, 180.0::DOUBLE), (1, 128.0), (2, 70.0)) c(class, m)"
+    for i in range(1, 5):
+        cte.append(f"cen{i} AS ({before})")
+        cte.append(f"pick{i} AS (SELECT (SELECT m FROM cen{i} WHERE class = 0) AS a, (SELECT m FROM cen{i} WHERE class = 1) AS b, (SELECT m FROM cen{i} WHERE class = 2) AS c)")
+        cte.append(f"asg{i} AS (SELECT src, CASE WHEN (src - a) * (src - a) <= (src - b) * (src - b) AND (src - a) * (src - a) <= (src - c) * (src - c) THEN 0 WHEN (src - b) * (src - b) <= (src - c) * (src - c) THEN 1 ELSE 2 END AS class FROM vox, pick{i})")
+        before = f"SELECT class, avg(src) AS m FROM asg{i} GROUP BY class"
+    _sql["agg17_kmeans"] = f"WITH {', '.join(cte)} SELECT CAST(class AS INT) AS class, round(avg(src), 4) AS center FROM asg4 GROUP BY class"
+    on_image("agg18_em", lambda v: v.sparkSession.createDataFrame([(j, round(a, 3), round(m[0], 2)) for j, (a, m, _) in enumerate(A.em(v, ["src"], 2, F.col("x") + F.col("y") * 64, 5))], "class int, amplitude double, mean double"), None)
+    on_image("agg19_gamma_index", lambda v: A.gamma_index(v, [70.0, 128.0, 190.0], 1, 1.0, 20.0), None)
+    on_image("agg21_density_threshold", lambda v: A.density_threshold(v, 128, 1, 50), None)
+    on_image("agg22_label_mask", lambda v: A.label_mask(v, 2), "SELECT z, y, x, CASE WHEN tis = 2 THEN 255.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM vox")
+
+    # Windows
+    conv = lambda col, axis, k: " + ".join(f"{w} * {line(col, axis, i - len(k) // 2) if i != len(k) // 2 else col}" for i, w in enumerate(k))
+    with_column("win01_convolve_rows", lambda v: window.convolve_line(v, [1, 3, 1], "x"), "tgt", f"coalesce({conv('src', 'x', [1, 3, 1])}, 0.0)")
+    with_column("win01_convolve_columns", lambda v: window.convolve_line(v, [-1, 0, 2], "y"), "tgt", f"coalesce({conv('src', 'y', [-1, 0, 2])}, 0.0)")
+    cells = " + ".join(f"{k} * {line(f's{dx + 1}', 'y', dy) if dy else f's{dx + 1}'}" for (dy, dx), k in zip([(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)], [1, 2, 1, 0, 4, 0, -1, -2, -1], strict=True) if k)
+    nine = f"SELECT *, {line('src', 'x', -1)} AS s0, src AS s1, {line('src', 'x', 1)} AS s2 FROM vox"
+    on_image("win01_convolve_2d", lambda v: window.convolve(v, [[1, 2, 1], [0, 4, 0], [-1, -2, -1]]).select("z", "y", "x", "tgt"), f"SELECT z, y, x, CASE WHEN x = 0 OR x = 63 THEN 0.0 ELSE coalesce({cells}, 0.0) END AS tgt FROM ({nine})")
+    add("win02_kernels", lambda s, d: s.createDataFrame([(i, round(k, 9)) for i, k in enumerate(window.gauss_kernel(1.5, 5))], "i int, k double"), "SELECT CAST(i AS INT) AS i, round(exp(-(i - 2) * (i - 2) / 4.5) / sum(exp(-(i - 2) * (i - 2) / 4.5)) OVER (), 9) AS k FROM range(0, 5) r(i)")
+    on_image("win03_gaussian", lambda v: window.gaussian(v, 1.0).select("z", "y", "x", F.round("tgt", 5).alias("tgt")), None)
+    with_column("win04_average_sum", lambda v: window.average(v, 3).withColumn("tgt", F.round("tgt", 5)), "tgt", "0")
+    two = f"SELECT *, coalesce(({line('src', 'x', -1)} + src + {line('src', 'x', 1)}) / 3, 0.0) AS r FROM vox"
+    _sql["win04_average_sum"] = f"WITH {IMG} SELECT z, y, x, src, round(coalesce(({line('r', 'y', -1)} + r + {line('r', 'y', 1)}) / 3, 0.0), 5) AS tgt, tis FROM ({two})"
+    inner = "a.x BETWEEN 1 AND 62 AND a.y BETWEEN 1 AND 48"
+    box = "vox a JOIN vox b ON b.z = a.z AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1"
+    on_image("win05_median", lambda v: window.median(v).select("z", "y", "x", "tgt"), f"SELECT a.z, a.y, a.x, CASE WHEN {inner} THEN median(b.src) ELSE max(a.src) END AS tgt FROM {box} GROUP BY a.z, a.y, a.x")
+    on_image("win05_interquartile", lambda v: window.interquartile(v).select("z", "y", "x", "tgt"), f"SELECT a.z, a.y, a.x, CASE WHEN {inner} THEN list_sort(list(b.src))[8] - list_sort(list(b.src))[2] ELSE 0.0 END AS tgt FROM {box} GROUP BY a.z, a.y, a.x")
+    on_image("win06_sigma_filter", lambda v: window.sigma_filter(v, 40, 3, 3).select("z", "y", "x", F.round("tgt", 5).alias("tgt")), f"SELECT a.z, a.y, a.x, round(CASE WHEN {inner} THEN avg(b.src) FILTER (WHERE abs(b.src - a.src) < 40) ELSE max(a.tgt) END, 5) AS tgt FROM {box} GROUP BY a.z, a.y, a.x")
+    on_image("win07_moment", lambda v: window.moment(v).select("z", "y", "x", F.round("tgt", 4).alias("tgt")), f"SELECT a.z, a.y, a.x, round(CASE WHEN {inner} THEN var_pop(b.src) ELSE 0.0 END, 4) AS tgt FROM {box} GROUP BY a.z, a.y, a.x")
+    grads = f"SELECT *, coalesce({line('sy', 'x', 1)} - {line('sy', 'x', -1)}, 0.0) AS gx, coalesce({line('sx', 'y', 1)} - {line('sx', 'y', -1)}, 0.0) AS gy FROM (SELECT *, {line('src', 'y', -1)} + 2 * src + {line('src', 'y', 1)} AS sy, {line('src', 'x', -1)} + 2 * src + {line('src', 'x', 1)} AS sx FROM vox)"
+    on_image("win08_sobel", lambda v: window.sobel(v).select("z", "y", "x", "gx", "gy", "tgt"), f"SELECT z, y, x, gx, gy, abs(gx) + abs(gy) AS tgt FROM ({grads})")
+    on_image("win08_sobel_finer", lambda v: window.sobel(v, True).select("z", "y", "x", F.round("tgt", 5).alias("tgt")), f"SELECT z, y, x, round(sqrt(gx * gx + gy * gy), 5) AS tgt FROM ({grads})")
+    on_image("win09_laplacian", lambda v: window.laplacian(v).select("z", "y", "x", F.round("tgt", 5).alias("tgt")), f"SELECT z, y, x, round(coalesce((12 * src - 2 * (l + {line('src', 'y', -1)} + {line('src', 'y', 1)}) - ({line('l', 'y', -1)} + {line('l', 'y', 1)})) / 12, 0.0), 5) AS tgt FROM (SELECT *, {line('src', 'x', -1)} + {line('src', 'x', 1)} AS l FROM vox)")
+    on_image("win09_laplacian_product", lambda v: window.laplacian(v, True).select("z", "y", "x", "tgt"), f"SELECT z, y, x, coalesce({conv('r', 'y', [1, -2, 1])}, 0.0) AS tgt FROM (SELECT *, coalesce({conv('src', 'x', [1, -2, 1])}, 0.0) AS r FROM vox)")
+    on_image("win10_gauss_sharpen", lambda v: window.gauss_sharpen(v, 1.0).select("z", "y", "x", F.round("tgt", 5).alias("tgt")), None)
+    on_image("win11_directions", lambda v: window.directions(v).select("z", "y", "x", F.round("tgt", 3).alias("tgt")), None)
+    on_image("win11_canny", lambda v: window.canny(v, 1.0, 100, 250), None)
+    zero = " OR ".join(f"coalesce({line('s', a, k)} * s <= 0 AND s <= 0, false)" for a in "xy" for k in (-1, 1))
+    on_image("win12_zero_crossings", lambda v: window.zero_crossings(v.withColumn("src", F.col("src") - 128)).select("z", "y", "x", "tgt"), f"SELECT z, y, x, CASE WHEN {zero} THEN -1.0::DOUBLE ELSE 255.0::DOUBLE END AS tgt FROM (SELECT *, src - 128 AS s FROM vox)")
+    greater = " OR ".join(f"coalesce(tgt > {line('tgt', a, k)}, false)" for a in "xy" for k in (-1, 1))
+    with_column("win13_mark_border", window.mark_border, "tgt", f"CASE WHEN {greater} THEN -1.0::DOUBLE ELSE tgt END")
+    differs = " OR ".join(f"coalesce({line('tis', a, k)} <> tis, false)" for a in "xy" for k in (-1, 1))
+    add("win14_erosion", lambda s, d: window.erosion(layers(s, d), 1, "tis"), f"SELECT z, y, x, src, tgt, CASE WHEN {differs} THEN 0 ELSE tis END AS tis FROM lay", LAYERS)
+    offs = {"up": ("y", -1), "down": ("y", 1), "left": ("x", -1), "right": ("x", 1)}
+    last = "".join(f"WHEN coalesce({line('tis', *offs[o])}, 0) <> 0 THEN {line('tis', *offs[o])} " for o in ("right", "left", "down", "up"))
+    add("win15_dilation", lambda s, d: window.dilation(layers(s, d), 1, "tis"), f"SELECT z, y, x, src, tgt, CASE WHEN tis <> 0 THEN tis {last} ELSE 0 END AS tis FROM lay", LAYERS)
+    add("win16_closing", lambda s, d: window.closing(layers(s, d), 1, "tgt"))
+    add("win16_opening", lambda s, d: window.opening(layers(s, d), 1, "tgt"))
+    add("win17_morphology_dilate", lambda s, d: window.morphology(layers(s, d), "dilate", 2).select("z", "y", "x", "tgt"), "SELECT a.z, a.y, a.x, max(b.tgt) AS tgt FROM lay a JOIN lay b ON b.z = a.z AND b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2 AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 4 GROUP BY a.z, a.y, a.x", LAYERS)
+    on_image("win18_diffusion", lambda v: window.anisotropic_diffusion(v, 0.1, 3, 20, 0.05).select("z", "y", "x", F.round("tgt", 2).alias("tgt")), None)
+    add("win19_mode_filter", lambda s, d: window.mode_filter(layers(s, d).withColumn("tis", F.when(F.col("src") > 60, 1).otherwise(0)), 3).select("z", "y", "x", "tis"), "SELECT a.z, a.y, a.x, CAST(CASE WHEN a.x BETWEEN 1 AND 62 AND a.y BETWEEN 1 AND 62 THEN CASE WHEN sum(b.t) >= 5 THEN 1 ELSE 0 END ELSE max(a.t) END AS INT) AS tis FROM bin a JOIN bin b ON b.z = a.z AND b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 GROUP BY a.z, a.y, a.x", LAYERS, "bin AS (SELECT z, y, x, CASE WHEN src > 60 THEN 1 ELSE 0 END AS t FROM lay)")
+    add("win20_smooth_labels", lambda s, d: window.smooth_labels(layers(s, d), 1.0, [3]))
+    add("win21_smooth_steps", lambda s, d: window.smooth_steps(layers(s, d).withColumn("tis", F.when(F.col("src") > 60, 1).otherwise(0)), 3).select("z", "y", "x", "tis"), "SELECT z, y, x, CAST(CASE WHEN coalesce(lag(t) OVER w, t) + 2 * t + coalesce(lead(t) OVER w, t) > 2 THEN 1 ELSE 0 END AS INT) AS tis FROM bin WINDOW w AS (PARTITION BY y, x ORDER BY z)", LAYERS, "bin AS (SELECT z, y, x, CASE WHEN src > 60 THEN 1 ELSE 0 END AS t FROM lay)")
+    add("win22_vote_labels", lambda s, d: window.vote_labels(layers(s, d).withColumn("tis", F.when(F.col("src") > 90, 1).when(F.col("src") > 60, 2).when(F.col("src") > 30, 3).otherwise(0)), 1, rounds=2))
+    on_image("win23_unwrap", lambda v: window.unwrap(v, 0.4, 256), None)
+    jump = "CASE WHEN value - lag(value) OVER w > 200 THEN -400 WHEN value - lag(value) OVER w < -200 THEN 400 ELSE 0 END"
+    add("win23_unwrap_line", lambda s, d: window.unwrap_line(events(s, d), ["user_id"], ["ts", "event_id"], "value", 0.5, 400).select("event_id", "unwrapped"), f"SELECT event_id, value + sum(j) OVER w AS unwrapped FROM (SELECT *, {jump} AS j FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)", EVENTS)
+    add("win24_interpolate", lambda s, d: window.interpolate(li(s, d).withColumn("tgt", F.col("src")), 1, 5), "SELECT CAST(k AS INT) AS z, a.y, a.x, a.src + (b.src - a.src) / 4 * (k - 1) AS value FROM vox a JOIN vox b ON b.y = a.y AND b.x = a.x, range(2, 5) r(k) WHERE a.z = 1 AND b.z = 5", FULL)
+    add("win24_extrapolate", lambda s, d: window.extrapolate(li(s, d).withColumn("tgt", F.col("src")), 1, 3, 4), "SELECT 4 AS z, a.y, a.x, a.src + (b.src - a.src) / 2 * 3 AS value FROM vox a JOIN vox b ON b.y = a.y AND b.x = a.x WHERE a.z = 1 AND b.z = 3", FULL)
+    for name, f in (("win25_shape_between", window.shape_between), ("win26_median_sets_between", window.median_sets_between), ("win27_connected_shape_between", window.connected_shape_between)):
+        add(name, lambda s, d, f=f: f(layers(s, d), 1, 4))
+
+    # Regions
+    reach = "RECURSIVE " + LAYERS
+    grow = "reached(z, y, x) AS (SELECT z, y, x FROM seeds UNION SELECT b.z, b.y, b.x FROM reached a JOIN inside b ON {near})"
+    near2 = "b.z = a.z AND abs(b.y - a.y) + abs(b.x - a.x) = 1"
+    near3 = "abs(b.z - a.z) + abs(b.y - a.y) + abs(b.x - a.x) = 1"
+    add("graph01_components", lambda s, d: region.components(layers(s, d), masked=True).where("comp >= 0").groupBy("z", "comp").agg(F.count("*").alias("n")).select("z", "n"), "SELECT z, count(*) AS n FROM root GROUP BY z, r", reach, "on_ AS (SELECT z, y, x, y * 64 + x AS i FROM lay WHERE tgt > 0)", f"pairs(z, i, r) AS (SELECT z, i, i FROM on_ UNION SELECT b.z, b.i, a.r FROM pairs a JOIN on_ p ON p.z = a.z AND p.i = a.i JOIN on_ b ON {near2.replace('a.', 'p.')})", "root AS (SELECT z, i, min(r) AS r FROM pairs GROUP BY z, i)")
+    add("graph02_components_3d", lambda s, d: region.components_3d(layers(s, d).withColumn("tgt", F.when(F.col("src") > 130, 1.0).otherwise(0.0))).where("comp >= 0").groupBy("comp").agg(F.count("*").alias("n")).select("n"))
+    add("graph03_clean_labels", lambda s, d: region.clean_labels(layers(s, d), 3, 0.5).select("z", "y", "x", "tis"))
+    seeds = "seeds AS (SELECT z, y, x FROM lay WHERE src >= 150), inside AS (SELECT z, y, x FROM lay WHERE src >= 90)"
+    add("graph04_hysteretic", lambda s, d: region.hysteretic(layers(s, d), 90, 150).where("tgt > 0").select("z", "y", "x"), "SELECT z, y, x FROM reached", reach, seeds, grow.format(near=near2))
+    add("graph05_double_hysteretic", lambda s, d: region.double_hysteretic(layers(s, d), 60, 90, 110, 140).where("tgt > 0").select("z", "y", "x"), "SELECT z, y, x FROM reached", reach, "seeds AS (SELECT z, y, x FROM lay WHERE src BETWEEN 90 AND 110), inside AS (SELECT z, y, x FROM lay WHERE src BETWEEN 60 AND 140)", grow.format(near=near2))
+    one = "seeds AS (SELECT z, y, x FROM lay WHERE z = 4 AND y = 32 AND x = 32), inside AS (SELECT z, y, x FROM lay WHERE src BETWEEN 30 AND 90)"
+    add("graph06_growing_3d", lambda s, d: region.threshold_growing(layers(s, d), 4, 32, 32, 30, 90, three=True).where("tgt > 0").select("z", "y", "x"), "SELECT z, y, x FROM reached", reach, one, grow.format(near=near3))
+    add("graph07_add_label_connected", lambda s, d: region.add_label_connected(layers(s, d), 9, 4, 32, 32, override=True, locked=[3]).where("tis = 9").select("z", "y", "x"), "SELECT z, y, x FROM reached", reach, "v0 AS (SELECT tgt AS t FROM lay WHERE z = 4 AND y = 32 AND x = 32), inside AS (SELECT z, y, x FROM lay, v0 WHERE tgt = t AND tis <> 3), seeds AS (SELECT z, y, x FROM inside WHERE z = 4 AND y = 32 AND x = 32)", grow.format(near=near2))
+    add("graph08_subtract_label_connected", lambda s, d: region.subtract_label_connected(layers(s, d), 0, 4, 32, 32).groupBy("tis").agg(F.count("*").alias("n")), "SELECT tis, count(*) AS n FROM lay GROUP BY tis", LAYERS)
+    add("graph09_change_mask", lambda s, d: region.change_mask_connected(layers(s, d).withColumn("m", F.lit(False)), "m", 4, 32, 32).where("m").select("z", "y", "x"), "SELECT z, y, x FROM reached", reach, "v0 AS (SELECT tgt AS t FROM lay WHERE z = 4 AND y = 32 AND x = 32), inside AS (SELECT z, y, x FROM lay, v0 WHERE tgt = t), seeds AS (SELECT z, y, x FROM inside WHERE z = 4 AND y = 32 AND x = 32)", grow.format(near=near2))
+    outer = "seeds AS (SELECT z, y, x FROM lay WHERE tgt = 0 AND (x = 0 OR y = 0 OR x = 63 OR y = 63)), inside AS (SELECT z, y, x FROM lay WHERE tgt = 0)"
+    add("filt11_flood_exterior", lambda s, d: predicate.flood_exterior(layers(s, d), 7.0).where("tgt = 7").select("z", "y", "x"), "SELECT z, y, x FROM reached", reach, outer, grow.format(near=near2))
+    add("graph14_fill_unassigned", lambda s, d: region.fill_unassigned(layers(s, d), 9.0).where("tgt = 9").select("z", "y", "x"), "SELECT z, y, x FROM lay WHERE tgt = 0 EXCEPT SELECT z, y, x FROM reached", reach, outer, grow.format(near=near2))
+    add("graph14_unassigned_value", lambda s, d: region.unassigned_value(layers(s, d)), "SELECT (255.0::DOUBLE + 0) / 2 AS value", LAYERS)
+    add("graph11_fill_holes", lambda s, d: region.fill_holes(layers(s, d), 255.0, 1_000_000).groupBy("z").agg(F.count_if(F.col("tgt") == 255).alias("n")), "SELECT l.z, count(*) AS n FROM lay l WHERE tgt > 0 OR NOT EXISTS (SELECT 1 FROM reached r WHERE r.z = l.z AND r.y = l.y AND r.x = l.x) GROUP BY l.z", reach, outer, grow.format(near=near2))
+    add("graph10_flood_masked", lambda s, d: region.flood_masked(layers(s, d), F.col("x").between(20, 30) & F.col("y").between(20, 30), "src"))
+    add("graph12_remove_islands", lambda s, d: region.remove_islands(layers(s, d), 255.0, 2).groupBy("z").agg(F.count_if(F.col("tgt") == 255).alias("n")), "SELECT a.z, count(*) FILTER (WHERE a.tgt = 255 AND EXISTS (SELECT 1 FROM lay b WHERE b.z = a.z AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 AND (b.y <> a.y OR b.x <> a.x) AND b.tgt = 255)) AS n FROM lay a GROUP BY a.z", LAYERS)
+    add("graph13_fill_gaps", lambda s, d: region.fill_gaps(layers(s, d), 2))
+    off = " OR ".join(f"coalesce({line('tgt', a, k)} = 0, false)" for a in "xy" for k in (-1, 1))
+    add("graph15_add_skin", lambda s, d: region.add_skin(layers(s, d), 1, 9.0).where("tgt = 9").select("z", "y", "x"), f"SELECT z, y, x FROM (SELECT *, {off} OR x = 0 OR y = 0 OR x = 63 OR y = 63 AS edge FROM lay) WHERE tgt > 0 AND ({off})", LAYERS)
+    _sql["graph15_add_skin"] = f"WITH {LAYERS} SELECT z, y, x FROM (SELECT z, y, x, tgt, {off} AS edge FROM lay) WHERE tgt > 0 AND edge"
+    add("graph16_fill_skin", lambda s, d: region.fill_skin(layers(s, d), 1, 0, 1).where("tgt > 0").select("z", "y", "x"))
+    for name, f in {
+        "graph17_watershed": lambda v: region.watershed(v, 20), "graph17_merge_events": region.merge_events, "graph19_region_growing": region.region_growing,
+        "graph20_livewire": lambda v: region.livewire(v, 0, (5, 5), (40, 50)), "graph21_fuzzy": lambda v: region.fuzzy_connectedness(v.where("z = 0"), 10, 10, 128, 40, 30),
+        "graph22_fast_marching": lambda v: region.fast_marching(v.where("z = 0"), 100.0, F.col("x") == 0), "graph23_distance": lambda v: region.distance(v.withColumn("tgt", F.when(F.col("tis") > 0, 255.0).otherwise(0.0)), 255.0),
+        "graph24_step_distance": lambda v: region.step_distance(v.withColumn("tgt", F.when(F.col("tis") > 0, 255.0).otherwise(0.0)), 255.0), "graph26_level_set": lambda v: region.level_set(v.withColumn("tgt", F.when((F.col("x") - 30) * (F.col("x") - 30) + (F.col("y") - 25) * (F.col("y") - 25) < 100, 255.0).otherwise(0.0)), 20),
+        "graph27_regrow": lambda v: region.regrow(v, 0, 1, 0), "graph33_graph_cut": lambda v: region.graph_cut(v.where("z = 0 and y < 16 and x < 16"), F.col("src") > 180, F.col("src") < 80, 30.0),
+        "graph34_fix_topology": lambda v: region.fix_topology(v.where("z = 0").withColumn("tgt", F.when(F.col("src") > 110, 255.0).otherwise(0.0)), F.lit(True)), "graph35_thinning": lambda v: region.thinning(v.where("z < 2").withColumn("tgt", F.when(F.col("src") > 110, 255.0).otherwise(0.0))),
+        "graph36_grow_cut": lambda v: region.grow_cut(v.withColumn("tis", F.when(F.col("x") == 0, 1).when(F.col("x") == 63, 2).otherwise(0))), "graph37_non_maximum": region.non_maximum,
+    }.items():
+        on_image(name, f, None)
+    add("graph28_skeleton_graph", lambda s, d: region.skeleton_graph(li(s, d).where("z < 3 and y < 12 and x < 12").withColumn("tgt", F.when(F.col("src") > 120, 1.0).otherwise(0.0))))
+    edges = lambda s, d: marks(s, d).where("seq < 300").select((F.col("seq") % 200).alias("src"), (F.col("mark") % 200).alias("dst")).where("src <> dst")
+    add("graph29_edge_components", lambda s, d: region.edge_components(edges(s, d)), "SELECT node, min(r) AS label FROM reached GROUP BY node", f"RECURSIVE {MARKS}", "e AS (SELECT seq % 200 AS a, mark % 200 AS b FROM marks WHERE seq < 300 AND seq % 200 <> mark % 200), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reached(node, r) AS (SELECT a, a FROM both_ UNION SELECT e.b, r.r FROM reached r JOIN both_ e ON e.a = r.node)")
+    add("graph29_polylines", lambda s, d: region.polylines(edges(s, d)))
+    add("graph30_grid_edges", lambda s, d: region.grid_edges(li(s, d)).groupBy("dz", "dy", "dx").agg(F.count("*").alias("n")), "SELECT dz, dy, dx, CAST(n AS BIGINT) AS n FROM (VALUES (1, 0, 0, 6 * 4096), (0, 1, 0, 7 * 63 * 64), (0, 0, 1, 7 * 63 * 64)) t(dz, dy, dx, n)")
+    add("graph31_path", lambda s, d: region.path(li(s, d), (1, 5, 5), (3, 12, 14), length=5.0))
+    add("graph32_vessel_tree", lambda s, d: region.vessel_tree(li(s, d), (1, 5, 5), [(3, 12, 14), (3, 5, 14)], length=5.0))
+
+    # Contours, tracks, composites
+    add("geom01_contours", lambda s, d: geometry.contours(layers(s, d).where("z <= 2"), 3).select("z", "tissue", "outer", "line_no", F.size("points").alias("n")))
+    lines = lambda s, d: events(s, d).groupBy(F.col("user_id").cast("int").alias("line_no")).agg(F.sort_array(F.collect_list(F.struct(F.col("event_id").alias("k"), F.struct((F.col("event_id") % 1000).cast("int").alias("x"), F.col("value").cast("int").alias("y")).alias("p")))).alias("r")).select("line_no", F.lit(0).alias("z"), F.lit(1).alias("tissue"), F.transform("r", lambda q: q["p"]).alias("points"))
+    add("geom02_douglas_peucker", lambda s, d: geometry.douglas_peucker(lines(s, d), 50.0).select("line_no", F.size("points").alias("n")))
+    add("geom03_thin_points", lambda s, d: geometry.thin_points(lines(s, d), 30.0).select("line_no", F.size("points").alias("n")))
+    add("geom04_shift_contours", lambda s, d: geometry.shift_contours(lines(s, d), 3, -4).select("line_no", F.posexplode("points").alias("k", "p")).select("line_no", "k", "p.x", "p.y"), "SELECT CAST(user_id AS INT) AS line_no, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS k, CAST(event_id % 1000 + 3 AS INT) AS x, CAST(value - 4 AS INT) AS y FROM ev", EVENTS)
+    add("geom04_extruded", lambda s, d: geometry.extruded(marks(s, d).select("seq", "z"), 2.0, (1.0, 3.0)), "SELECT seq, z, CASE WHEN z = min(z) OVER () THEN 1.0::DOUBLE WHEN z = max(z) OVER () THEN 3.0::DOUBLE ELSE 2.0::DOUBLE END AS thickness FROM marks", MARKS)
+    square = lambda s: s.createDataFrame([(0, 1, [{"x": 2, "y": 3}, {"x": 20, "y": 3}, {"x": 20, "y": 11}, {"x": 2, "y": 11}])], f"z int, tissue int, points {geometry.POINTS}")
+    add("geom05_rasterise", lambda s, d: geometry.rasterise(square(s), 64, 64), "SELECT 0 AS z, 1 AS tissue, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM range(3, 12) a(y), range(2, 21) b(x)")
+    add("geom06_correct_outline", lambda s, d: geometry.correct_outline(geometry.rasterise(square(s), 64, 64).select("z", "y", "x", F.lit(255.0).alias("tgt")).transform(lambda v: grid.dense(v, (0, 1), 32, 32, tgt=0.0)), 0, 255.0, [(5, 3), (8, 0), (11, 3)]))
+    faces = " UNION ALL ".join(f"SELECT tis AS tissue, '{a}' AS axis, {k} AS side, x, y, z FROM (SELECT *, {'lead' if k > 0 else 'lag'}(tis) OVER (PARTITION BY {', '.join(c for c in 'zyx' if c != a)} ORDER BY {a}) AS o FROM lay) WHERE tis > 0 AND (o IS NULL OR o <> tis)" for a in "xyz" for k in (-1, 1))
+    add("geom07_surfaces", lambda s, d: geometry.surfaces(layers(s, d), 1, 1, 2).groupBy("tissue").agg(F.count("*").alias("faces"), F.sum("area").alias("area")), f"SELECT tissue, count(*) AS faces, sum(CASE WHEN axis = 'z' THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END) AS area FROM ({faces}) GROUP BY tissue", LAYERS)
+    add("geom08_add_contours", lambda s, d: geometry.add_contours(lines(s, d).where("line_no < 50"), lines(s, d).where("line_no >= 50")).select("line_no", F.size("points").alias("n")), "SELECT CAST(user_id AS INT) AS line_no, CAST(count(*) AS INT) AS n FROM ev GROUP BY user_id", EVENTS)
+    m = lambda s, d: marks(s, d).withColumns({"a": F.col("mark").cast("int"), "b": F.col("seq").cast("int")})
+    add("scalar01_lower", lambda s, d: tissues(s, d).select("id", scalar.lower_name(F.col("name")).alias("name")), "SELECT id, lower(name) AS name FROM tissues", TISSUES)
+    add("scalar02_vectors", lambda s, d: m(s, d).select("seq", scalar.dist2(F.col("x"), F.col("y"), F.lit(3), F.lit(4)).alias("d2"), F.round(scalar.dist(F.col("x"), F.col("y"), F.lit(3), F.lit(4)), 6).alias("d"), scalar.dot([F.col("x"), F.col("y"), F.col("z")], [F.lit(1), F.lit(2), F.lit(3)]).alias("dot"), scalar.cross_2d(F.col("x"), F.col("y"), F.lit(3), F.lit(4)).alias("cr"), *[c.alias(f"c{i}") for i, c in enumerate(scalar.cross([F.col("x"), F.col("y"), F.col("z")], [F.lit(1), F.lit(2), F.lit(3)]))]), "SELECT seq, (x - 3) * (x - 3) + (y - 4) * (y - 4) AS d2, round(sqrt((x - 3) * (x - 3) + (y - 4) * (y - 4)), 6) AS d, x + 2 * y + 3 * z AS dot, abs(x * 4 - y * 3) AS cr, y * 3 - z * 2 AS c0, z * 1 - x * 3 AS c1, x * 2 - y * 1 AS c2 FROM marks", MARKS)
+    add("scalar03_rounding", lambda s, d: m(s, d).select("seq", scalar.next_odd(F.col("x") / 4).alias("odd"), scalar.round_up(F.col("x").cast("double"), 5.0).alias("up"), scalar.round_down(F.col("x").cast("double"), 5.0).alias("down")), "SELECT seq, CAST(ceil(x / 4) + CASE WHEN ceil(x / 4) % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS odd, ceil(x / 5) * 5.0::DOUBLE AS up, floor(x / 5) * 5.0::DOUBLE AS down FROM marks", MARKS)
+    add("scalar04_transform", lambda s, d: m(s, d).select("seq", *[c.alias(f"w{i}") for i, c in enumerate(scalar.transform_point([1, 2, 0, 3, 0, 1, 0, 4, 0, 0, 2, 5], F.col("x"), F.col("y"), F.col("z")))]), "SELECT seq, x + 2.0::DOUBLE * y + 3 AS w0, y + 4.0::DOUBLE AS w1, 2.0::DOUBLE * z + 5 AS w2 FROM marks", MARKS)
+    add("scalar05_dates", lambda s, d: m(s, d).select("seq", scalar.dicom_date(F.lit(2001), F.col("z"), F.col("x")).alias("d"), scalar.dicom_time(F.col("z"), F.col("x"), F.lit(7), True).alias("t"), scalar.replace_text(F.col("name"), "-", "/").alias("r"), scalar.backslash_joined(F.array("x", "y")).alias("j")), "SELECT seq, CASE WHEN z = 0 OR x = 0 THEN '' ELSE '2001' || lpad(z::VARCHAR, 2, '0') || lpad(x::VARCHAR, 2, '0') END AS d, CASE WHEN z = 0 OR x = 0 THEN '' ELSE lpad(z::VARCHAR, 2, '0') || lpad(x::VARCHAR, 2, '0') || '07' END AS t, replace(name, '-', '/') AS r, x || chr(92) || y AS j FROM marks", MARKS)
+    add("scalar06_tokens", lambda s, d: m(s, d).select("seq", F.size(scalar.tokens(F.col("name"), "-")).alias("n"), scalar.is_integer(F.substring("name", 1, 1)).alias("i")), "SELECT seq, CAST(len([t for t in string_split(name, '-') if t <> '']) AS INT) AS n, regexp_full_match(substr(name, 1, 1), '[+-]?[0-9]+') AS i FROM marks", MARKS)
+    add("scalar07_decimals", lambda s, d: m(s, d).select("seq", scalar.decimal_string(F.concat(F.lit(" "), "x", F.lit(".5 "))).alias("d"), scalar.decimal_strings(F.concat_ws("\\", F.col("x").cast("string"), F.lit("no")))[0].alias("e"), scalar.integer_string(F.col("name")).alias("i")), "SELECT seq, x + 0.5::DOUBLE AS d, x::DOUBLE AS e, try_cast(name AS INT) AS i FROM marks", MARKS)
+    add("scalar08_versions", lambda s, d: m(s, d).select("seq", scalar.pack_versions(F.col("x"), F.col("z")).alias("p"), *[c.alias(n) for n, c in zip(("v", "t"), scalar.unpack_versions(scalar.pack_versions(F.col("x"), F.col("z"))), strict=True)]), "SELECT seq, z * 256 + x AS p, x AS v, z AS t FROM marks", MARKS)
+    add("scalar09_dispatch", lambda s, d: m(s, d).select("seq", scalar.dispatched(F.substring("name", 1, 1), {"1": F.col("x") + 1, "2": -F.col("x")}, F.col("y")).alias("v")), "SELECT seq, CASE substr(name, 1, 1) WHEN '1' THEN x + 1 WHEN '2' THEN -x ELSE y END AS v FROM marks", MARKS)
+    add("udf01_registered", lambda s, d: (scalar.register(s), img(s, d).selectExpr("z", "y", "x", "grey_level(src) AS g"))[1], "SELECT z, y, x, floor(least(255.0, greatest(0.0, src + 0.5))) AS g FROM vox", IMG)
+    add("stream01_track", lambda s, d: tracking.track(events(s, d).withColumn("k", F.row_number().over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("user_id").orderBy("ts", "event_id"))).select("user_id", "k", "value"), "user_id", "k", ["value"]))
+    on_image("udf02_bias_corrected", plugins.bias_corrected, None)
+    on_image("udf03_confidence_connected", lambda v: plugins.confidence_connected(v, 0, 20, 20), None)
+    on_image("udf04_threshold_level_set", lambda v: plugins.threshold_level_set(v.where("z = 0").withColumn("tgt", F.when((F.col("x") - 30) * (F.col("x") - 30) + (F.col("y") - 25) * (F.col("y") - 25) < 100, 255.0).otherwise(0.0)), 100, 160, 40), None)
+    on_image("udf04_guessed_thresholds", lambda v: plugins.guessed_thresholds(v, v.where("x = 5").select("z", "y", "x")).select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high")), "SELECT round(avg(src) - 2 * stddev_pop(src), 4) AS low, round(avg(src) + 2 * stddev_pop(src), 4) AS high FROM vox WHERE x = 5")
+    on_image("udf06_vesselness", lambda v: plugins.vesselness(v, 1.0), None)
+    on_image("udf06_blobness", lambda v: plugins.blobness(v, 1.0), None)
+    add("udf07_trace_tubes", lambda s, d: plugins.trace_tubes(layers(s, d), 3, 4.0))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    if not _queries:
+        build()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    queries()
+    return dict(_sql)

@@ -53,12 +53,12 @@ def fill(nodes: DataFrame, parents: list[str], order: str) -> DataFrame:
 def budgets(leaves: DataFrame, share: float, total: int | None, max_epochs: float, weights: dict[str, dict[str, float]]) -> DataFrame:
     """``leaves`` (levels, tokens) with ``budget`` in whole tokens."""
     levels = list(LEVELS)
-    nodes = leaves.withColumn("capacity", F.col("tokens") * float(max_epochs))
+    wanted = F.lit(float(total)) if total is not None else F.sum("tokens").over(Window.partitionBy()) * share
+    nodes = leaves.withColumns({"capacity": F.col("tokens") * float(max_epochs), "wanted": wanted})
     for level in levels:
         nodes = nodes.withColumn("capacity", F.when(weight(level, weights.get(level, {})) > 0, F.col("capacity")).otherwise(0.0))
     nodes = nodes.where("capacity > 0")
-    wanted = F.lit(float(total)) if total is not None else F.sum("tokens").over(Window.partitionBy()) * share
-    above = nodes.withColumn("parent_budget", F.least(wanted, F.sum("capacity").over(Window.partitionBy())))
+    above = nodes.withColumn("parent_budget", F.least(F.col("wanted"), F.sum("capacity").over(Window.partitionBy())))
     for i, level in enumerate(levels):
         parents, own = levels[:i], levels[: i + 1]
         family = above.groupBy(*own).agg(F.sum("capacity").alias("capacity"), F.first("parent_budget").alias("parent_budget")).withColumn("weight", weight(level, weights.get(level, {})))

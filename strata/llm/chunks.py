@@ -48,6 +48,23 @@ def pieces(text: str) -> list[str]:
     return ("\n" + text.replace("\n", " \n")).split(" ")
 
 
+#: A longer text is handled in portions, each but the first of which begins with a blank.
+PORTION = 2_000_000
+
+
+def portions(text: str, size: int | None = None) -> Iterable[str]:
+    """Cuts before blanks about every ``size`` characters; one portion if there is no blank."""
+    size = size or PORTION
+    at = 0
+    while len(text) - at > size:
+        cut = text.rfind(" ", at + 1, at + size)
+        if cut < 0 and (cut := text.find(" ", at + size)) < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def groups(texts: list[str], rows: int = 256, size: int = 2_000_000) -> Iterable[tuple[int, int]]:
     """Ranges of texts of bounded number and length (a longer text stands alone)."""
     at = total = 0

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.binary_output import id_lists
-from strata.llm.chunks import Cache, groups, plain
+from strata.llm.chunks import PORTION, Cache, groups, plain, portions
 from strata.llm.common import text_or_empty
 
 MARK = "▁"
@@ -122,6 +122,10 @@ class Codec:
         self.cuts = self.spec.dummy_prefix and not self.spec.squeeze and not self.spec.charsmap and not any(MARK in p.lstrip(MARK) or "\n" in p for p in texts)
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in self.spec.pieces]
         self.bytes[self.spec.unknown] = " ⁇ ".encode()
+        from tokenizers import pre_tokenizers
+
+        self.inner.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.feed = self.own.encode("\n")[1:]
         self.parts = Cache(self.encode_parts)
         self.differ = 0
 
@@ -135,17 +139,36 @@ class Codec:
         return self.checked(ours, self.own.encode(texts, num_threads=1))
 
     def encode_parts(self, new: list[str]) -> list[bytes]:
-        """``x`` is marker + x; what begins with a line feed has no marker."""
-        ours = [x.ids for x in self.inner.encode_batch_fast([p if p[:1] == "\n" else MARK + p for p in new], add_special_tokens=False)]
+        """``x`` is marker + x; what begins with a line feed has no marker. A hundred pieces go in one text, one to a
+        line, many such texts in one batch."""
+        lines = [p[1:] if p[:1] == "\n" else MARK + p for p in new]
+        full = [i for i, x in enumerate(lines) if x]
+        ours: list[list[int]] = [[] for _ in new]
+        parts = [full[at : at + 100] for at in range(0, len(full), 100)]
+        for part, found in zip(parts, self.inner.encode_batch(["\n".join(lines[i] for i in part) for part in parts], add_special_tokens=False), strict=True):
+            ids, ends = found.ids, (np.flatnonzero(np.diff(found.word_ids, append=-1)) + 1).tolist()
+            for i, a, b in zip(part, [0, *ends[:-1]], ends, strict=True):
+                ours[i] = ids[a:b]
+        ours = [self.feed + x if p[:1] == "\n" else x for p, x in zip(new, ours, strict=True)]
         theirs = self.own.encode(new, num_threads=1)
         return self.checked(ours, [(b[1:] if p[:1] == "\n" else b) if p else self.own.piece_to_id([MARK]) for p, b in zip(new, theirs, strict=True)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " \n").split(" ") if t and self.cuts and t[0] != " " and MARK not in t and "\0" not in t and plain(t) else None for t in texts]
+        """Little-endian 32-bit ids of every text. A portion's blank is the marker that a text of its own would get."""
+        if len(texts) == 1 and len(texts[0]) > PORTION and self.cuttable(texts[0]):
+            parts = list(portions(texts[0]))
+            return [b"".join(self._encode([p[1:] if i else p])[0] for i, p in enumerate(parts))]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        cut = [t.replace("\n", " \n").split(" ") if self.cuttable(t) else None for t in texts]
         ready = self.parts.ready(set().union(*[c for c in cut if c]))
         whole = iter(self.encode_whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
         return [b"".join(map(ready.__getitem__, c)) if c else next(whole) for c in cut]
 
+    def cuttable(self, text: str) -> bool:
+        return bool(text) and self.cuts and text[0] != " " and MARK not in text and "\0" not in text and plain(text)
+
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return out[1:] if self.spec.dummy_prefix and out[:1] == " " else out

@@ -8,10 +8,14 @@ import numpy as np
 
 U = np.uint64
 _bytes = np.random.default_rng(1).integers(1, 2**64, 256, dtype=U)
+_other = np.random.default_rng(2).integers(1, 2**64, 256, dtype=U)
 _white = np.zeros(256, dtype=bool)
 _white[[9, 10, 11, 12, 13, 32]] = True
 _base = U(0x9E3779B97F4A7C15)
 _inverse = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: Bytes hashed at once (a longer word at once all the same).
+SLICE = 1 << 21
+
 _powers = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
 
 
@@ -34,17 +38,41 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of all texts, and where each text's words end. A-Z are lower-cased; words are separated by
-    blanks and the control characters 9 to 13."""
+    blanks and the control characters 9 to 13. Bytes are hashed in slices that end between words."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     data = np.frombuffer(b" " + b" ".join(t.lower() for t in texts) + b" ", dtype=np.uint8)
     white = _white[data]
     edges = np.flatnonzero(white[1:] != white[:-1]) + 1
     starts, ends = edges[0::2], edges[1::2]
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(_bytes[data] * up[: len(data)], out=sums[1:], dtype=U)
-    words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
-    return words, np.searchsorted(starts, np.cumsum(lengths + 1), side="left")
+    words, at = [], 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE, side="right")))
+        low, high = int(starts[at]), int(ends[to - 1])
+        up, down = powers(high - low + 1)
+        sums = np.zeros(high - low + 1, dtype=U)
+        np.cumsum(_bytes[data[low:high]] * up[: high - low], out=sums[1:], dtype=U)
+        a, b = starts[at:to] - low, ends[at:to] - low
+        words.append(mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U)))
+        at = to
+    hashes = np.concatenate(words) if words else np.zeros(0, dtype=U)
+    return hashes, np.searchsorted(starts, np.cumsum(lengths + 1), side="left")
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of every run of bytes."""
+    out: tuple[list, list] = [], []
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(stops, starts[at] + SLICE, side="right")))
+        low, high = int(starts[at]), int(stops[to - 1])
+        up, down = powers(high - low + 1)
+        a, b = starts[at:to] - low, stops[at:to] - low
+        for table, hashes in zip((_bytes, _other), out, strict=True):
+            sums = np.zeros(high - low + 1, dtype=U)
+            np.cumsum(table[data[low:high]] * up[: high - low], out=sums[1:], dtype=U)
+            hashes.append(mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U)))
+        at = to
+    return tuple(np.concatenate(h) if h else np.zeros(0, dtype=U) for h in out)
 
 
 def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:

@@ -151,7 +151,7 @@ class ParityJoin:
     def classes(self) -> DataFrame:
         """(doc, n, rep): documents with equal sets share the smallest one's id; documents without words stand alone."""
         sizes = stored(self.sizes(), "sizes")
-        reps = sizes.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc").alias("rep"))
+        reps = stored(sizes.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc").alias("rep")), "reps")  # so that a skewed join can be split
         return stored(sizes.join(reps, ["n", "a", "b"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "classes")
 
     def buckets(self) -> DataFrame:

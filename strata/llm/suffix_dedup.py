@@ -222,7 +222,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 )
 
     found = stored(texts.mapInArrow(find, "h long, row long, at long, q long, c int"), "anchors")
-    shared = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared")  # so that a skewed join can be split
     kept = found.join(shared, "h").groupBy("row").agg(F.collect_list(F.struct("h", "at", "q", "c", "n")).alias("anchors"))  # bounded by the text
     kept = stored(kept, "shared_anchors")
 

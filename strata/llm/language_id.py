@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.llm.chunks import groups
+from strata.llm.chunks import PORTION, groups, portions
+from strata.llm.shingles import U, mix
 
 #: The model learns from at most this many documents of each language, those with the smallest hash of their doc_id ...
 SAMPLE = 600
@@ -37,54 +38,97 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n neighbouring code points."""
+    h = points[: len(points) - n + 1].astype(U)
+    for j in range(1, n):
+        h = mix(h) + points[j : len(points) - n + 1 + j]
+    return mix(h + U(n))
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class Model:
     """Log frequencies of words and n-grams by language; languages in order, which decides ties."""
 
     def __init__(self, counts: dict[tuple[str, int], dict[str, int]]) -> None:
         self.langs = sorted({lang for lang, _ in counts})
-        self.known: dict[int, dict[str, np.ndarray]] = {}
+        self.words: dict[str, int] = {}
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in range(LONGEST + 1):
             by = [counts.get((lang, n), {}) for lang in self.langs]
             seen = sorted(set().union(*by)) if by else []
             total = [sum(x.values()) + 0.5 * (len(seen) + 1) for x in by]
             logs = np.log(np.array([[x.get(g, 0) + 0.5 for x in by] for g in seen]).reshape(len(seen), len(by)) / np.array(total))
-            self.known[n] = dict(zip(seen, logs, strict=True))
+            if n == 0:
+                self.words, self.logs = {w: i for i, w in enumerate(seen)}, logs
+            else:
+                keys = np.array([gram_hashes(code_points(g), n)[0] for g in seen], dtype=U)
+                order = np.argsort(keys)
+                self.grams[n] = (keys[order], logs[order])
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.langs)))
-
-    def evidence(self, word: str) -> np.ndarray:
-        """A known word's log frequencies; else the mean over the longest n-grams of it that are known."""
-        if (row := self.known[0].get(word)) is not None:
-            return row
+        """Start again with the known words only."""
+        self.at, self.rows = dict(self.words), self.logs
+
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """For every word the mean of the log frequencies of its longest n-grams that are known; none: nothing."""
+        points = code_points("".join(f"<{w}>" for w in words))
+        lengths = np.array([len(w) + 2 for w in words])
+        owner = np.repeat(np.arange(len(words)), lengths)
+        out, open_ = np.zeros((len(words), len(self.langs))), np.ones(len(words), dtype=bool)
         for n in range(LONGEST, 0, -1):
-            if found := [row for g in grams(word, n) if (row := self.known[n].get(g)) is not None]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+            keys, logs = self.grams[n]
+            if not len(keys) or len(points) < n:
+                continue
+            first, last = owner[: len(owner) - n + 1], owner[n - 1 :]
+            at = np.flatnonzero((first == last) & open_[first])
+            h = gram_hashes(points, n)[at]
+            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[place] == h
+            word, place = first[at][hit], place[hit]
+            times = np.bincount(word, minlength=len(words))
+            found = times > 0
+            for c in range(len(self.langs)):
+                out[found, c] = np.bincount(word, weights=logs[place, c], minlength=len(words))[found] / times[found]
+            open_ &= ~found
+        return out
 
     def learn(self, words: set[str]) -> None:
-        if len(self.at) + len(words) > REMEMBERED:
+        """Remember the evidence of words not met before."""
+        if len(self.at) + len(words) > REMEMBERED + len(self.words):
             self.forget()
-        for w in words.difference(self.at):
-            if len(self.at) == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[len(self.at)] = self.evidence(w)
-            self.at[w] = len(self.at)
+        if new := list(words.difference(self.at)):
+            self.at.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+            self.rows = np.concatenate([self.rows, self.evidence(new)])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        cut = [words_of(t) if t else [] for t in texts]
-        self.learn(set().union(*cut))
-        out = []
-        for words in cut:
-            if not words or not self.langs:
-                out.append((UNKNOWN, 0.0))
-                continue
-            total = self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0) * min(1.0, WORDS / len(words))
-            best = int(np.argmax(total))
-            out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
-        return out
+        if len(texts) > 1 and any(t and len(t) > PORTION for t in texts):
+            return [x for t in texts for x in self.predict([t])]
+        parts = [list(portions(t)) if t else [] for t in texts]
+        if sum(map(len, parts)) <= len(texts):  # all are short: their words are looked up together
+            cut = [words_of(p[0]) if p else [] for p in parts]
+            self.learn(set().union(*cut))
+            return [self.decided(len(w), self.sum(w)) for w in cut]
+        count, total = 0, np.zeros(len(self.langs))
+        for p in parts[0]:
+            words = words_of(p)
+            self.learn(set(words))
+            count, total = count + len(words), total + self.sum(words)
+        return [self.decided(count, total)]
+
+    def sum(self, words: list[str]) -> np.ndarray:
+        return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0)
+
+    def decided(self, count: int, total: np.ndarray) -> tuple[str, float]:
+        if not count or not self.langs:
+            return UNKNOWN, 0.0
+        total = total * min(1.0, WORDS / count)
+        best = int(np.argmax(total))
+        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -97,8 +141,10 @@ def train(docs: DataFrame) -> Model:
     """Learn from text and lang of documents that are not held out. The sample is bounded by SAMPLE documents of a
     language, the model by KEPT entries; what comes to the driver is the model."""
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= SAMPLE).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
+    dice = [F.xxhash64("doc_id"), F.col("doc_id")]
+    for keys in (["lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))], ["lang"]):  # the first of each of 64 parts, then of those
+        ids = ids.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*dice))).where(F.col("__rn") <= SAMPLE).drop("__rn")
+    chosen = ids.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
     sample = docs.join(F.broadcast(chosen), docs["doc_id"].eqNullSafe(F.col("__id")) & (docs["lang"] == F.col("__lang"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

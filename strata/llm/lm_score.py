@@ -20,8 +20,9 @@ HEAD = 256
 #: Bigrams seen less often in the whole corpus are not in the table, and back off.
 LEAST = 2
 BACKOFF = 0.4
-#: Tokens of a bucket, on average.
+#: Tokens of a bucket, on average, once there are more than this many buckets.
 TOKENS = 4_000_000
+BUCKETS = 64
 
 
 def token_groups(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -63,7 +64,7 @@ def score(docs: DataFrame, vocabulary_size: int = VOCABULARY, least: int = LEAST
     unigrams[ranks] = counts
     unigrams[0] = total - counts.sum()
     sent = spark.sparkContext.broadcast((words, ranks, unigrams))
-    buckets = max(1, -(-total // TOKENS))
+    buckets = max(BUCKETS, -(-total // TOKENS))
 
     def pairs(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
         """Ids, word ranks, number of the document of every word, and places of words that follow another."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.llm.chunks import Cache, groups, pieces, plain
+from strata.llm.chunks import PORTION, groups, plain, portions
 from strata.llm.common import shared_dir, small, text_or_empty
+from strata.llm.shingles import U, run_hashes
 
 SCHEMA = "doc_id long, part int, before long, ids array<int>"
 #: Row groups of this many documents carry minima, maxima and a Bloom filter, so a reader skips what it doesn't need.
@@ -23,50 +26,127 @@ ORC_OPTIONS = {
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(16 << 20),
-    "compression": "zstd",
+    "compression": "lz4",
 }
 
+# How byte-level tokenizers cut a text, and the same for texts of the first 706 code points alone.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-\u02c1", "0-9²³¹¼-¾"
+CUT_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
+BEYOND_LATIN = re.compile("[^\x00-\u02c1]")
+
+#: Pieces a worker remembers.
+REMEMBERED = 400_000
+
 _encoders: dict[str, Encoder] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte: itself if it is one, else the next from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def gathered(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs pool[start : start + length], one after another."""
+    ends = np.cumsum(length)
+    return pool[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
     """A byte-level tokenizer of the tokenizers library; special tokens' strings in a text are ordinary text.
 
-    Blank-separated pieces of a plain text (see chunks.plain) are encoded once and kept; any other text is encoded whole.
+    A plain text (see chunks.plain) is cut before every blank and line feed, where the tokenizer cuts it too. Pieces are
+    told apart by two 64-bit hashes; only those not met before are cut into words by the tokenizer's own pattern, and
+    its model encodes every new word once. What is remembered is bounded. Any other text is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        feed = self.whole("\n")
-        self.feed = feed if len(feed) == 4 else b""  # only if a line feed is one token can it separate pieces
-        self.cache = Cache(self.encode_pieces)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        self.known = model["type"] == "BPE" and not spec.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+        if self.known:
+            merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+            self.words = Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0))
+            self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+            self.cut = regex.compile(CUT)
+            self.letters = byte_letters() | {10: "\n"}
+            self.feed = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, dtype="<i4")
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.check = np.zeros(0, dtype=U), np.zeros(0, dtype=U)
+        self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype="<i4")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
-    def encode_pieces(self, new: list[str]) -> list[bytes]:
-        """Many pieces in one text, between line feeds; pieces that are or would leave only white space go alone."""
-        out: dict[str, bytes] = {p: self.whole(p or " ") for p in new if p in ("", "\n")}
-        joined = [p for p in new if p not in out]
-        feed = int(np.frombuffer(self.feed, "<i4")[0])
-        for at in range(0, len(joined), 2000):
-            part = joined[at : at + 2000]
-            text = "\n" + "\n".join(p[1:] if p[0] == "\n" else " " + p for p in part)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4")
-            starts = np.flatnonzero(ids == feed)
-            ends = np.append(starts[1:], len(ids))
-            for p, a, b in zip(part, starts.tolist(), ends.tolist(), strict=True):
-                out[p] = ids[a if p[0] == "\n" else a + 1 : b].tobytes()
-        return [out[p] for p in new]
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has: many in one call, one to a line."""
+        ids, lengths = [], []
+        for at in range(0, len(words), 100):
+            lines = "\n".join(words[at : at + 100]).encode().decode("latin-1").translate(self.letters)
+            found = self.words.encode(lines, add_special_tokens=False)
+            ids.append(np.array(found.ids, dtype="<i4"))
+            lengths.append(np.bincount(np.array(found.word_ids)))
+        return (np.concatenate(ids), np.concatenate(lengths)) if ids else (np.zeros(0, dtype="<i4"), np.zeros(0, np.int64))
+
+    def encode_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has."""
+        cut = self.cut if BEYOND_LATIN.search("".join(new)) else CUT_LATIN
+        words = list(map(cut.findall, new))
+        place: dict[str, int] = {"\n": 0}
+        flat = np.array([place.setdefault(w, len(place)) for x in words for w in x], dtype=np.int64)
+        ids, lengths = self.encode_words(list(place)[1:])
+        pool, lengths = np.concatenate([self.feed, ids]), np.concatenate([[len(self.feed)], lengths])
+        ends = np.concatenate([[0], np.cumsum(lengths[flat])])
+        bounds = np.concatenate([[0], np.cumsum(list(map(len, words)))])
+        return gathered(pool, (np.cumsum(lengths) - lengths)[flat], lengths[flat]), np.diff(ends[bounds])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
-        cut = [pieces(t) if self.feed and plain(t) else None for t in texts]
-        ready = self.cache.ready(set().union(*[c for c in cut if c]))
-        return [b"".join(map(ready.__getitem__, c))[4:] if c else self.whole(t) for c, t in zip(cut, texts, strict=True)]
+        if len(texts) == 1 and len(texts[0]) > PORTION and self.known and plain(texts[0]) and " " in texts[0][1:]:
+            return [b"".join(self.encode([p])[0] for p in portions(texts[0]))]
+        easy = [i for i, t in enumerate(texts) if self.known and t and plain(t)]
+        out = dict(zip(easy, self.encode_plain([texts[i].encode() for i in easy]), strict=True)) if easy else {}
+        return [out[i] if i in out else self.whole(t) for i, t in enumerate(texts)]
+
+    def encode_plain(self, texts: list[bytes]) -> list[bytes]:
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        first = np.zeros(len(data), dtype=bool)
+        first[np.concatenate([[0], ends[:-1]])] = True
+        starts = np.flatnonzero(first | (data == 32) | (data == 10))
+        stops = np.append(starts[1:], len(data))
+        one, two = run_hashes(data, starts, stops)
+        if len(self.keys) > REMEMBERED:
+            self.forget()
+        keys, where, which = np.unique(one, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        if (two[where][which] != two).any() or (self.check[at[known]] != two[where[known]]).any():
+            return [self.whole(t.decode()) for t in texts]  # two pieces share a hash
+        if not known.all():
+            raw, fresh = data.tobytes(), where[~known]
+            ids, lengths = self.encode_pieces([raw[a:b].decode() for a, b in zip(starts[fresh].tolist(), stops[fresh].tolist(), strict=True)])
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(lengths) - lengths])
+            self.length, self.pool = np.concatenate([self.length, lengths]), np.concatenate([self.pool, ids])
+            self.keys, self.check = np.concatenate([self.keys, keys[~known]]), np.concatenate([self.check, two[fresh]])
+            order = np.argsort(self.keys, kind="stable")
+            self.keys, self.check, self.start, self.length = self.keys[order], self.check[order], self.start[order], self.length[order]
+            at = np.searchsorted(self.keys, keys)
+        at = at[which]
+        lengths = self.length[at]
+        ids = gathered(self.pool, self.start[at], lengths).tobytes()
+        cuts = np.concatenate([[0], np.cumsum(lengths)[np.searchsorted(starts, ends, side="left") - 1]]) * 4
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 def encoder(path: str) -> Encoder:
@@ -95,7 +175,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0)
         own, before, part = encoder(tokenizer), 0, TaskContext.get().partitionId()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in groups(texts):
+            for a, b in groups(texts, 1000, PORTION):
                 encoded = [x + end for x in own.encode(texts[a:b])]
                 ends = before + np.cumsum([len(x) >> 2 for x in encoded])
                 starts = np.concatenate([[before], ends[:-1]]).astype(np.int64)

@@ -40,14 +40,6 @@ def plain(text: str) -> bool:
     return not any(x in text for x in NEIGHBOURS) and not RARE.search(text)
 
 
-def pieces(text: str) -> list[str]:
-    """A plain text's pieces: ``x`` stands for blank + x, and what begins with a line feed stands for itself.
-
-    The first piece gets a line feed that the caller takes off again.
-    """
-    return ("\n" + text.replace("\n", " \n")).split(" ")
-
-
 #: A longer text is handled in portions, each but the first of which begins with a blank.
 PORTION = 2_000_000
 

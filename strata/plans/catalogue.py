@@ -71,7 +71,7 @@ EVENTS = "ev AS (SELECT event_id, ts, user_id, event_type, floor(value) AS value
 
 def marks(spark: SparkSession, sf: str) -> DataFrame:
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    return o.where("o_orderkey <= 4000").select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 7).cast("int").alias("z"), (F.col("o_custkey") % 64).cast("int").alias("x"), (F.col("o_orderkey") * 7 % 64).cast("int").alias("y"), F.col("o_custkey").alias("mark"), F.col("o_orderpriority").alias("name"))
+    return o.select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 7).cast("int").alias("z"), (F.col("o_custkey") % 64).cast("int").alias("x"), (F.col("o_orderkey") * 7 % 64).cast("int").alias("y"), F.col("o_custkey").alias("mark"), F.col("o_orderpriority").alias("name"))
 
 
 MARKS = """marks AS (SELECT o_orderkey AS seq, CAST(o_orderkey % 7 AS INT) AS z, CAST(o_custkey % 64 AS INT) AS x, CAST(o_orderkey * 7 % 64 AS INT) AS y, o_custkey AS mark, o_orderpriority AS name FROM orders WHERE o_orderkey <= 4000)"""

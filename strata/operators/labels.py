@@ -139,16 +139,48 @@ def match_objects(objects: DataFrame, cell: float, weights: tuple[float, float]
     return met.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("z", "id", "next_id", "score")
 
 
+def nearest_of(asked: DataFrame, given: DataFrame, cell: float) -> DataFrame:
+    """(id, x, y, to): for each point (id, x, y) the id of the nearest of ``given``, ties by id. Points are dealt into
+    square cells and meet their own and the eight around; a nearest one within a cell's width is final, and the
+    others meet cells of twice the width, until none are left."""
+    near = F.explode(F.expr("transform(sequence(0, 8), i -> named_struct('dx', i % 3 - 1, 'dy', CAST(floor(i / 3) AS INT) - 1))"))
+    found, left = None, asked
+    while True:
+        gx, gy = F.floor(F.col("x") / cell), F.floor(F.col("y") / cell)
+        cells = given.select(gx.alias("gx"), gy.alias("gy"), F.col("id").alias("to"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+        spread = left.withColumn("o", near).select("id", "x", "y", (gx + F.col("o.dx")).alias("gx"), (gy + F.col("o.dy")).alias("gy"))
+        d = F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2)
+        met = spread.join(cells, ["gx", "gy"]).groupBy("id", "x", "y").agg(F.min(F.struct(d.alias("d"), F.col("to"))).alias("m"))
+        # Short of the width by a little, for the cells' edges are rounded.
+        done = met.where(F.sqrt("m.d") <= 0.999 * cell).select("id", "x", "y", F.col("m.to").alias("to")).checkpoint()
+        found = done if found is None else found.unionByName(done)
+        left = left.join(done.select("id"), "id", "left_anti").checkpoint()
+        if left.isEmpty():
+            return found
+        cell *= 2
+
+
 @operator("JOIN-14")
 def mutual_nearest(one: DataFrame, two: DataFrame) -> DataFrame:
-    """(a, b) of components (id, cx, cy) of two slices that are each other's nearest. Components of a slice are few."""
-    a = one.select(F.col("id").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.lit(0).alias("k"))
-    b = two.select(F.col("id").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by"), F.lit(0).alias("k"))
-    d = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)
-    met = a.join(b, "k").withColumn("d", d)
-    ra = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    rb = F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))
-    return met.withColumns({"ra": ra, "rb": rb}).where("ra = 1 and rb = 1").select("a", "b")
+    """(a, b) of components (id, cx, cy) of two slices that are each other's nearest, ties by id. Of components at one
+    place only the smallest id can be a nearest one."""
+    from strata.operators.region import checkpoint_dir
+
+    checkpoint_dir(one.sparkSession)
+
+    def places(rows: DataFrame) -> DataFrame:
+        x, y = F.col("cx").cast("double"), F.col("cy").cast("double")
+        return rows.where(F.abs(x + y) < float("inf")).groupBy(x.alias("x"), y.alias("y")).agg(F.min("id").alias("id")).checkpoint()
+
+    a, b = places(one), places(two)
+    size = [d.agg(F.count("*"), *[f(c) for c in "xy" for f in (F.min, F.max)]).first() for d in (a, b)]
+    if not (size[0][0] and size[1][0]):
+        return a.select(F.col("id").alias("a")).join(b.select(F.col("id").alias("b")), F.lit(False))
+    spans = [max(s[i + 1] for s in size) - min(s[i] for s in size) for i in (1, 3)]
+    n = min(size[0][0], size[1][0])
+    cell = max((spans[0] * spans[1] / n) ** 0.5, max(spans) / n) or 1.0
+    ab = nearest_of(a, b, cell).select(F.col("id").alias("a"), F.col("to").alias("b"))
+    return ab.join(nearest_of(b, a, cell).select(F.col("to").alias("a"), F.col("id").alias("b")), ["a", "b"])
 
 
 @operator("JOIN-15")

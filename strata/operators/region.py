@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,14 +36,18 @@ def components_3d(vox: DataFrame, col: str = "tgt", full: bool = True, key: str
     return out.join(dense, "root", "left").withColumn("comp", F.coalesce("comp", F.lit(-1)).cast("long")).select(*vox.columns, "comp")
 
 
-def propagate(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable, by rounds of minima and pointer jumps until nothing changes. Every
-    round is a checkpoint in the shared folder (the session's own if one is set)."""
+def checkpoint_dir(spark: SparkSession) -> None:
     import tempfile
 
-    sc = edges.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp())  # one machine: nothing is configured
+
+
+def propagate(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node reachable, by rounds of minima and pointer jumps until nothing changes. Every
+    round is a checkpoint in the shared folder (the session's own if one is set)."""
+    checkpoint_dir(edges.sparkSession)
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
     labels = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")).checkpoint()
     while True:

@@ -195,7 +195,7 @@ def build() -> None:
     objects = "SELECT z, seq AS id, x AS cx, y AS cy, mark % 9 AS size FROM marks"
     add("join13_match_objects", lambda s, d: labels.match_objects(marks(s, d).select("z", F.col("seq").alias("id"), F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"), (F.col("mark") % 9).alias("size")), 3.0).select("z", "id", "next_id", F.round("score", 6).alias("score")), f"SELECT z, id, next_id, round(score, 6) AS score FROM (SELECT a.z, a.id, b.id AS next_id, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) + abs(a.size - b.size) AS score, row_number() OVER (PARTITION BY a.z, a.id ORDER BY sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) + abs(a.size - b.size), b.id) AS rn FROM ({objects}) a JOIN ({objects}) b ON b.z = a.z + 1 AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 9) WHERE rn = 1", MARKS)
     near = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
-    add("join14_mutual_nearest", lambda s, d: labels.mutual_nearest(*[marks(s, d).where(f"z = {z} and seq < 500").select(F.col("seq").alias("id"), F.col("x").alias("cx"), F.col("y").alias("cy")) for z in (0, 1)]), f"SELECT a, b FROM (SELECT a.seq AS a, b.seq AS b, row_number() OVER (PARTITION BY a.seq ORDER BY {near}, b.seq) AS ra, row_number() OVER (PARTITION BY b.seq ORDER BY {near}, a.seq) AS rb FROM marks a, marks b WHERE a.z = 0 AND b.z = 1 AND a.seq < 500 AND b.seq < 500) WHERE ra = 1 AND rb = 1", MARKS)
+    add("join14_mutual_nearest", lambda s, d: labels.mutual_nearest(*[marks(s, d).where(f"z = {z}").select(F.col("seq").alias("id"), F.col("x").alias("cx"), F.col("y").alias("cy")) for z in (0, 1)]), f"SELECT a, b FROM (SELECT a.seq AS a, b.seq AS b, row_number() OVER (PARTITION BY a.seq ORDER BY {near}, b.seq) AS ra, row_number() OVER (PARTITION BY b.seq ORDER BY {near}, a.seq) AS rb FROM marks a, marks b WHERE a.z = 0 AND b.z = 1 AND a.seq < 500 AND b.seq < 500) WHERE ra = 1 AND rb = 1", MARKS)
     touch = " UNION ALL ".join(f"SELECT least(a.tis, b.tis) AS a, greatest(a.tis, b.tis) AS b FROM lay a JOIN lay b ON " + " AND ".join(f"b.{c} = a.{c}{' + 1' if c == axis else ''}" for c in "zyx") + " WHERE a.tis > 0 AND b.tis > 0 AND a.tis <> b.tis" for axis in "xyz")
     add("join15_touching", lambda s, d: labels.touching(layers(s, d)), f"SELECT a, b, count(*) AS n FROM ({touch}) GROUP BY a, b", LAYERS)
     names = [(1, "Bone_cortical"), (2, "Bone_cancellous"), (3, "Fat"), (4, "Tooth"), (5, "Marrow_x"), (6, "Muscle"), (7, "Jaw bone")]
@@ -244,7 +244,7 @@ def build() -> None:
     sq = lambda p: " + ".join(f"{q} * {q}" for q in p)
     add("agg14_angles", lambda s, d: A.angles(three(s, d), 1, 1, 1).select("seq", F.round("angle", 4).alias("angle")), f"SELECT seq, round(CASE WHEN a * b = 0 THEN 0.0 ELSE degrees(acos(least(greatest(c / (sqrt(a) * sqrt(b)), -1.0), 1.0))) END, 4) AS angle FROM (SELECT seq, CAST({sq(u)} AS DOUBLE) AS a, CAST({sq(v)} AS DOUBLE) AS b, CAST({' + '.join(f'{p} * {q}' for p, q in zip(u, v, strict=True))} AS DOUBLE) AS c FROM ({ends}))", MARKS)
     add("agg15_object_features", lambda s, d: A.object_features(region.components(layers(s, d), masked=True).withColumn("comp", F.when(F.col("comp") >= 0, F.col("comp")))).groupBy("z").agg(F.count("*").alias("objects"), F.sum("size").alias("voxels"), F.sum("perimeter").alias("perimeter")))
-    add("agg16_softmax", lambda s, d: A.softmax(marks(s, d).where("seq < 1000").select("z", "seq", (F.col("mark") % 13).cast("double").alias("score")), ["z"], "score").select("seq", F.round("p", 8).alias("p")), "SELECT seq, round(CASE WHEN count(*) OVER (PARTITION BY z) = 1 THEN exp(-(mark % 13)) ELSE exp(-(mark % 13)) / sum(exp(-(mark % 13))) OVER (PARTITION BY z) END, 8) AS p FROM marks WHERE seq < 1000", MARKS)
+    add("agg16_softmax", lambda s, d: A.softmax(marks(s, d).select("z", "seq", (F.col("mark") % 13).cast("double").alias("score")), ["z"], "score").select("seq", F.round("p", 8).alias("p")), "SELECT seq, round(CASE WHEN count(*) OVER (PARTITION BY z) = 1 THEN exp(-(mark % 13)) ELSE exp(-(mark % 13)) / sum(exp(-(mark % 13))) OVER (PARTITION BY z) END, 8) AS p FROM marks WHERE seq < 1000", MARKS)
     centers = [[60.0, 200.0], [130.0, 100.0], [200.0, 20.0]]
     dist = [f"((src - {a}) * (src - {a}) * 0.5 + (tgt - {b}) * (tgt - {b}) * 0.5)" for a, b in centers]
     best = f"CASE WHEN {dist[0]} <= {dist[1]} AND {dist[0]} <= {dist[2]} THEN 0 WHEN {dist[1]} <= {dist[2]} THEN 1 ELSE 2 END"
@@ -353,7 +353,7 @@ def build() -> None:
     }.items():
         on_image(name, f, None)
     add("graph28_skeleton_graph", lambda s, d: region.skeleton_graph(li(s, d).where("z < 3 and y < 12 and x < 12").withColumn("tgt", F.when(F.col("src") > 120, 1.0).otherwise(0.0))))
-    edges = lambda s, d: marks(s, d).where("seq < 300").select((F.col("seq") % 200).alias("src"), (F.col("mark") % 200).alias("dst")).where("src <> dst")
+    edges = lambda s, d: marks(s, d).select((F.col("seq") % 200).alias("src"), (F.col("mark") % 200).alias("dst")).where("src <> dst")
     add("graph29_edge_components", lambda s, d: region.edge_components(edges(s, d)), "SELECT node, min(r) AS label FROM reached GROUP BY node", f"RECURSIVE {MARKS}", "e AS (SELECT seq % 200 AS a, mark % 200 AS b FROM marks WHERE seq < 300 AND seq % 200 <> mark % 200), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reached(node, r) AS (SELECT a, a FROM both_ UNION SELECT e.b, r.r FROM reached r JOIN both_ e ON e.a = r.node)")
     add("graph29_polylines", lambda s, d: region.polylines(edges(s, d)))
     add("graph30_grid_edges", lambda s, d: region.grid_edges(li(s, d)).groupBy("dz", "dy", "dx").agg(F.count("*").alias("n")), "SELECT dz, dy, dx, CAST(n AS BIGINT) AS n FROM (VALUES (1, 0, 0, 6 * 4096), (0, 1, 0, 7 * 63 * 64), (0, 0, 1, 7 * 63 * 64)) t(dz, dy, dx, n)")

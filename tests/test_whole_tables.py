@@ -41,3 +41,35 @@ def whole(sql: str, *cuts: str) -> str:
 def test_marks_are_whole(spark, duck, name):
     found = duck.sql(whole(catalogue.oracle_sql()[name])).arrow()
     assert rows(catalogue.queries()[name](spark, SF).toArrow()) == rows(found.read_all() if hasattr(found, "read_all") else found)
+
+
+@pytest.mark.parametrize(("name", "cut"), [("join14_mutual_nearest", " AND a.seq < 500 AND b.seq < 500"), ("agg16_softmax", " WHERE seq < 1000"), ("graph29_edge_components", "seq < 300 AND ")])
+def test_pairs_groups_and_edges_are_whole(spark, duck, name, cut):
+    found = duck.sql(whole(catalogue.oracle_sql()[name], cut)).arrow()
+    assert rows(catalogue.queries()[name](spark, SF).toArrow()) == rows(found.read_all() if hasattr(found, "read_all") else found)
+
+
+def test_polylines_hold_every_edge(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_custkey").collect()
+    edges = {(min(p), max(p)) for p in ((r[0] % 200, r[1] % 200) for r in orders) if p[0] != p[1]}
+    lines = {}
+    for r in catalogue.queries()["graph29_polylines"](spark, SF).collect():
+        lines.setdefault((r["label"], r["line"]), {})[r["k"]] = r["node"]
+    steps = [(min(v[k], v[k + 1]), max(v[k], v[k + 1])) for v in lines.values() for k in range(len(v) - 1)]
+    assert len(steps) == len(set(steps)) and set(steps) == edges
+
+
+def test_mutual_nearest_of_scattered_points(spark):
+    import random
+
+    from strata.operators import labels
+
+    rng = random.Random(4)
+    one = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(200)] + [(900, 500.0, -800.0), (901, 500.0, -800.0)]
+    two = [(i, rng.gauss(30, 1), rng.gauss(0, 9)) for i in range(150)] + [(800, -5000.0, 3.0)]
+    d = lambda p, q: (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2
+    to = {p[0]: min(two, key=lambda q, p=p: (d(p, q), q[0]))[0] for p in one}
+    back = {q[0]: min(one, key=lambda p, q=q: (d(p, q), p[0]))[0] for q in two}
+    frames = [spark.createDataFrame(r, "id long, cx double, cy double") for r in (one, two)]
+    assert sorted(map(tuple, labels.mutual_nearest(*frames).collect())) == sorted((a, b) for a, b in to.items() if back[b] == a)
+    assert labels.mutual_nearest(frames[0], frames[1].limit(0)).count() == 0

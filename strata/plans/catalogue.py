@@ -149,7 +149,7 @@ def build() -> None:
     on_image("proj25_flip", lambda v: point.transform_slices(v, point.flip("x", 64)), moved + "b.x = 63 - a.x AND b.y = a.y")
     on_image("proj25_scale", lambda v: point.transform_slices(v, point.scaling(2, 2)), moved + "b.x = floor(a.x * 0.5::DOUBLE + 0.5::DOUBLE) AND b.y = floor(a.y * 0.5::DOUBLE + 0.5::DOUBLE)")
     on_image("proj26_reorient", lambda v: point.reorient(v, "RAS", "PSL", {"x": 64, "y": 50, "z": 10}), "SELECT 63 - x AS z, z AS y, 49 - y AS x, src, tgt, tis FROM vox")
-    on_image("proj27_to_world", lambda v: point.to_world(v.where("x < 8"), [0, -1, 0, 5, 1, 0, 0, 6, 0, 0, 2, 7, 0, 0, 0, 1]).select("z", "y", "x", "wx", "wy", "wz"), "SELECT z, y, x, x * 0.0::DOUBLE + y * -1.0::DOUBLE + z * 0.0::DOUBLE + 5 AS wx, x * 1.0::DOUBLE + 6 AS wy, z * 2.0::DOUBLE + 7 AS wz FROM vox WHERE x < 8")
+    on_image("proj27_to_world", lambda v: point.to_world(v, [0, -1, 0, 5, 1, 0, 0, 6, 0, 0, 2, 7, 0, 0, 0, 1]).select("z", "y", "x", "wx", "wy", "wz"), "SELECT z, y, x, x * 0.0::DOUBLE + y * -1.0::DOUBLE + z * 0.0::DOUBLE + 5 AS wx, x * 1.0::DOUBLE + 6 AS wy, z * 2.0::DOUBLE + 7 AS wz FROM vox WHERE x < 8")
     with_column("proj28_brush", lambda v: point.brush(v, "tis", 20, 25, 6, 8, z=1, dy=0.5, locked=[3]), "tis", "CASE WHEN z = 1 AND tis <> 3 AND (x - 20) * (x - 20) + 0.25 * (y - 25) * (y - 25) <= 36 THEN 8 ELSE tis END")
     add("proj29_line_points", lambda s, d: point.line_points(marks(s, d).where("z = 0").select(F.col("seq").alias("id"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))), "SELECT seq AS id, CAST(k AS INT) AS k, CAST(CASE WHEN n = 0 THEN 0 ELSE (2 * k * x + n) // (2 * n) END AS INT) AS x, CAST(CASE WHEN n = 0 THEN 0 ELSE (2 * k * y + n) // (2 * n) END AS INT) AS y FROM (SELECT seq, x, y, n, unnest(range(0, n + 1)) AS k FROM (SELECT seq, x, y, greatest(x, y) AS n FROM marks WHERE z = 0))", MARKS)
     on_image("proj30_color_lookup", lambda v: point.color_lookup(v, v.sparkSession.range(6).select(F.col("id").cast("int").alias("id"), (F.col("id") * 10).alias("r"), (F.col("id") * 20).alias("g"), (F.col("id") * 30).alias("b"))).select("z", "y", "x", "r", "g", "b"), "SELECT z, y, x, CASE WHEN tis < 6 THEN tis * 10::BIGINT END AS r, CASE WHEN tis < 6 THEN tis * 20::BIGINT END AS g, CASE WHEN tis < 6 THEN tis * 30::BIGINT END AS b FROM vox")
@@ -344,15 +344,15 @@ def build() -> None:
     add("graph16_fill_skin", lambda s, d: region.fill_skin(layers(s, d), 1, 0, 1).where("tgt > 0").select("z", "y", "x"))
     for name, f in {
         "graph17_watershed": lambda v: region.watershed(v, 20), "graph17_merge_events": region.merge_events, "graph19_region_growing": region.region_growing,
-        "graph20_livewire": lambda v: region.livewire(v, 0, (5, 5), (40, 50)), "graph21_fuzzy": lambda v: region.fuzzy_connectedness(v.where("z = 0"), 10, 10, 128, 40, 30),
-        "graph22_fast_marching": lambda v: region.fast_marching(v.where("z = 0"), 100.0, F.col("x") == 0), "graph23_distance": lambda v: region.distance(v.withColumn("tgt", F.when(F.col("tis") > 0, 255.0).otherwise(0.0)), 255.0),
+        "graph20_livewire": lambda v: region.livewire(v, 0, (5, 5), (40, 50)), "graph21_fuzzy": lambda v: region.fuzzy_connectedness(v, 10, 10, 128, 40, 30),
+        "graph22_fast_marching": lambda v: region.fast_marching(v, 100.0, F.col("x") == 0), "graph23_distance": lambda v: region.distance(v.withColumn("tgt", F.when(F.col("tis") > 0, 255.0).otherwise(0.0)), 255.0),
         "graph24_step_distance": lambda v: region.step_distance(v.withColumn("tgt", F.when(F.col("tis") > 0, 255.0).otherwise(0.0)), 255.0), "graph26_level_set": lambda v: region.level_set(v.withColumn("tgt", F.when((F.col("x") - 30) * (F.col("x") - 30) + (F.col("y") - 25) * (F.col("y") - 25) < 100, 255.0).otherwise(0.0)), 20),
-        "graph27_regrow": lambda v: region.regrow(v, 0, 1, 0), "graph33_graph_cut": lambda v: region.graph_cut(v.where("z = 0 and y < 16 and x < 16"), F.col("src") > 180, F.col("src") < 80, 30.0),
-        "graph34_fix_topology": lambda v: region.fix_topology(v.where("z = 0").withColumn("tgt", F.when(F.col("src") > 110, 255.0).otherwise(0.0)), F.lit(True)), "graph35_thinning": lambda v: region.thinning(v.where("z < 2").withColumn("tgt", F.when(F.col("src") > 110, 255.0).otherwise(0.0))),
+        "graph27_regrow": lambda v: region.regrow(v, 0, 1, 0), "graph33_graph_cut": lambda v: region.graph_cut(v.where("y < 16 and x < 16"), F.col("src") > 180, F.col("src") < 80, 30.0),
+        "graph34_fix_topology": lambda v: region.fix_topology(v.withColumn("tgt", F.when(F.col("src") > 110, 255.0).otherwise(0.0)), F.lit(True)), "graph35_thinning": lambda v: region.thinning(v.withColumn("tgt", F.when(F.col("src") > 110, 255.0).otherwise(0.0))),
         "graph36_grow_cut": lambda v: region.grow_cut(v.withColumn("tis", F.when(F.col("x") == 0, 1).when(F.col("x") == 63, 2).otherwise(0))), "graph37_non_maximum": region.non_maximum,
     }.items():
         on_image(name, f, None)
-    add("graph28_skeleton_graph", lambda s, d: region.skeleton_graph(li(s, d).where("z < 3 and y < 12 and x < 12").withColumn("tgt", F.when(F.col("src") > 120, 1.0).otherwise(0.0))))
+    add("graph28_skeleton_graph", lambda s, d: region.skeleton_graph(li(s, d).withColumn("tgt", F.when(F.col("src") > 120, 1.0).otherwise(0.0))))
     edges = lambda s, d: marks(s, d).select((F.col("seq") % 200).alias("src"), (F.col("mark") % 200).alias("dst")).where("src <> dst")
     add("graph29_edge_components", lambda s, d: region.edge_components(edges(s, d)), "SELECT node, min(r) AS label FROM reached GROUP BY node", f"RECURSIVE {MARKS}", "e AS (SELECT seq % 200 AS a, mark % 200 AS b FROM marks WHERE seq < 300 AND seq % 200 <> mark % 200), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reached(node, r) AS (SELECT a, a FROM both_ UNION SELECT e.b, r.r FROM reached r JOIN both_ e ON e.a = r.node)")
     add("graph29_polylines", lambda s, d: region.polylines(edges(s, d)))
@@ -361,7 +361,7 @@ def build() -> None:
     add("graph32_vessel_tree", lambda s, d: region.vessel_tree(li(s, d), (1, 5, 5), [(3, 12, 14), (3, 5, 14)], length=5.0))
 
     # Contours, tracks, composites
-    add("geom01_contours", lambda s, d: geometry.contours(layers(s, d).where("z <= 2"), 3).select("z", "tissue", "outer", "line_no", F.size("points").alias("n")))
+    add("geom01_contours", lambda s, d: geometry.contours(layers(s, d), 3).select("z", "tissue", "outer", "line_no", F.size("points").alias("n")))
     lines = lambda s, d: events(s, d).groupBy(F.col("user_id").cast("int").alias("line_no")).agg(F.sort_array(F.collect_list(F.struct(F.col("event_id").alias("k"), F.struct((F.col("event_id") % 1000).cast("int").alias("x"), F.col("value").cast("int").alias("y")).alias("p")))).alias("r")).select("line_no", F.lit(0).alias("z"), F.lit(1).alias("tissue"), F.transform("r", lambda q: q["p"]).alias("points"))
     add("geom02_douglas_peucker", lambda s, d: geometry.douglas_peucker(lines(s, d), 50.0).select("line_no", F.size("points").alias("n")))
     add("geom03_thin_points", lambda s, d: geometry.thin_points(lines(s, d), 30.0).select("line_no", F.size("points").alias("n")))
@@ -387,7 +387,7 @@ def build() -> None:
     add("stream01_track", lambda s, d: tracking.track(events(s, d).withColumn("k", F.row_number().over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("user_id").orderBy("ts", "event_id"))).select("user_id", "k", "value"), "user_id", "k", ["value"]))
     on_image("udf02_bias_corrected", plugins.bias_corrected, None)
     on_image("udf03_confidence_connected", lambda v: plugins.confidence_connected(v, 0, 20, 20), None)
-    on_image("udf04_threshold_level_set", lambda v: plugins.threshold_level_set(v.where("z = 0").withColumn("tgt", F.when((F.col("x") - 30) * (F.col("x") - 30) + (F.col("y") - 25) * (F.col("y") - 25) < 100, 255.0).otherwise(0.0)), 100, 160, 40), None)
+    on_image("udf04_threshold_level_set", lambda v: plugins.threshold_level_set(v.withColumn("tgt", F.when((F.col("x") - 30) * (F.col("x") - 30) + (F.col("y") - 25) * (F.col("y") - 25) < 100, 255.0).otherwise(0.0)), 100, 160, 40), None)
     on_image("udf04_guessed_thresholds", lambda v: plugins.guessed_thresholds(v, v.where("x = 5").select("z", "y", "x")).select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high")), "SELECT round(avg(src) - 2 * stddev_pop(src), 4) AS low, round(avg(src) + 2 * stddev_pop(src), 4) AS high FROM vox WHERE x = 5")
     on_image("udf06_vesselness", lambda v: plugins.vesselness(v, 1.0), None)
     on_image("udf06_blobness", lambda v: plugins.blobness(v, 1.0), None)

@@ -73,3 +73,31 @@ def test_mutual_nearest_of_scattered_points(spark):
     frames = [spark.createDataFrame(r, "id long, cx double, cy double") for r in (one, two)]
     assert sorted(map(tuple, labels.mutual_nearest(*frames).collect())) == sorted((a, b) for a, b in to.items() if back[b] == a)
     assert labels.mutual_nearest(frames[0], frames[1].limit(0)).count() == 0
+
+
+#: What is fast enough for a test; thinning and the others that are slow run on the same whole views.
+SLICED = ["graph21_fuzzy", "graph22_fast_marching", "udf04_threshold_level_set", "proj27_to_world"]
+
+
+@pytest.mark.parametrize("name", SLICED)
+def test_image_queries_hold_every_voxel(spark, name):
+    small = "/root/testdata/sf0.001"
+    got = catalogue.queries()[name](spark, small).select("z", "y", "x").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, catalogue.img(spark, small).select("z", "y", "x").collect()))
+
+
+def test_proj27_is_whole(spark, duck):
+    found = duck.sql(whole(catalogue.oracle_sql()["proj27_to_world"], " WHERE x < 8")).arrow()
+    assert rows(catalogue.queries()["proj27_to_world"](spark, SF).toArrow()) == rows(found.read_all() if hasattr(found, "read_all") else found)
+
+
+def test_skeleton_graph_and_contours_are_whole(spark):
+    small = "/root/testdata/sf0.001"
+    on = {(r["z"], r["y"], r["x"]) for r in catalogue.li(spark, small).where("src > 120").collect()}
+    size = (max(z for z, _, _ in on) + 1, 64, 64)
+    got = {tuple(r) for r in catalogue.queries()["graph28_skeleton_graph"](spark, small).collect()}
+    flat = lambda z, y, x: (z * size[1] + y) * size[2] + x
+    steps = {(flat(*p), flat(*q)) for p in on for q in ((p[0] + 1, p[1], p[2]), (p[0], p[1] + 1, p[2]), (p[0], p[1], p[2] + 1)) if q in on}
+    assert steps <= got
+    zs = {r["z"] for r in catalogue.layers(spark, SF).where("tis > 0").select("z").distinct().collect()}
+    assert {r["z"] for r in catalogue.queries()["geom01_contours"](spark, SF).collect()} == zs

@@ -11,6 +11,10 @@ from strata.operators import kernels as K
 from strata.registry import operator
 
 
+#: More seeds than this are not broadcast.
+SEEDS = 100_000
+
+
 @operator("UDF-02")
 def bias_corrected(vox: DataFrame, degree: int = 2, mask: Column | None = None) -> DataFrame:
     """Source over a smooth field: a polynomial fitted to the logarithm of every slice, mean kept. Stands in for the
@@ -56,7 +60,9 @@ def confidence_connected(vox: DataFrame, z: int, y: int, x: int, factor: float =
 @operator("UDF-04")
 def guessed_thresholds(vox: DataFrame, seeds: DataFrame, factor: float = 2.0) -> DataFrame:
     """(low, high): mean and deviation of the source at seed voxels (z, y, x)."""
-    s = vox.join(F.broadcast(seeds.select("z", "y", "x").limit(100_000)), ["z", "y", "x"]).agg(F.avg("src").alias("m"), F.coalesce(F.stddev_pop("src"), F.lit(0.0)).alias("d"))
+    keys = seeds.select("z", "y", "x")
+    few = keys.limit(SEEDS + 1).count() <= SEEDS
+    s = vox.join(F.broadcast(keys) if few else keys, ["z", "y", "x"]).agg(F.avg("src").alias("m"), F.coalesce(F.stddev_pop("src"), F.lit(0.0)).alias("d"))
     return s.select((F.col("m") - factor * F.col("d")).alias("low"), (F.col("m") + factor * F.col("d")).alias("high"))
 
 

@@ -101,3 +101,14 @@ def test_skeleton_graph_and_contours_are_whole(spark):
     assert steps <= got
     zs = {r["z"] for r in catalogue.layers(spark, SF).where("tis > 0").select("z").distinct().collect()}
     assert {r["z"] for r in catalogue.queries()["geom01_contours"](spark, SF).collect()} == zs
+
+
+def test_thresholds_are_guessed_from_all_seeds(spark):
+    from pyspark.sql import functions as F
+
+    from strata.operators import plugins
+
+    vox = spark.range(150_000).select(F.lit(0).alias("z"), (F.col("id") / 500).cast("int").alias("y"), (F.col("id") % 500).cast("int").alias("x"), F.col("id").cast("double").alias("src"))
+    got = plugins.guessed_thresholds(vox, vox).first()
+    mean, dev = 149_999 / 2, ((150_000**2 - 1) / 12) ** 0.5
+    assert got["low"] == pytest.approx(mean - 2 * dev) and got["high"] == pytest.approx(mean + 2 * dev)

@@ -257,6 +257,7 @@ class ParityJoin:
         sets = stored(self.sets(stored(involved, "involved")), "sets")
         edges = stored(self.verified(pairs, sets), "links")
         everything = None
+        # The nearest partners may all have been tried: only the second, complete round tells that no link is left.
         for every in (False, True):
             labels = connected_components(edges, "a", "b")
             w = Window.partitionBy("key")
@@ -267,8 +268,6 @@ class ParityJoin:
             found = stored(self.survivors(mixed, every).join(pairs, ["a", "b"], "left_anti"), "survivors")
             new = stored(self.verified(found, sets), "links")
             everything = edges = stored(edges.unionByName(new), "links")
-            if found.isEmpty():
-                break
         links = everything.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(equal)
         labels = connected_components(links)
         return classes.join(labels, F.col("doc") == F.col("node"), "left").select("doc", "n", F.coalesce("label", "doc").alias("component"))

@@ -29,3 +29,14 @@ def test_op7_every_rare_word_has_its_own_count(spark):
         for p in zip(v, v[1:], strict=False):
             s += math.log10(bi[p] / uni[p[0]]) if bi[p] >= 2 else math.log10(0.4 * uni[p[1]] / total)
         assert got[d]["n_tokens"] == len(v) and got[d]["log_score"] == pytest.approx(s)
+
+
+def test_op4_complete_round_always_runs(spark, monkeypatch):
+    from strata.llm import parity_join
+
+    prepare(spark)
+    rounds, survivors = [], parity_join.ParityJoin.survivors
+    monkeypatch.setattr(parity_join.ParityJoin, "survivors", lambda self, rows, every: rounds.append(every) or survivors(self, rows, every))
+    texts = [" ".join(f"d{i}w{j}" for j in range(60)) for i in range(5)]
+    out = parity_join.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert rounds == [False, True] and all(r["component_id"] == r["doc_id"] for r in out)

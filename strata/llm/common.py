@@ -28,14 +28,17 @@ def prepare(spark: SparkSession) -> None:
     if root not in own.get("PYTHONPATH", "").split(os.pathsep):
         own["PYTHONPATH"] = os.pathsep.join(filter(None, [root, own.get("PYTHONPATH")]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # what was shuffled goes when its query ends
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is missing (tests on one machine) a temporary folder takes its place.
+    Only where the setting is missing and all runs on one machine (tests) a temporary folder takes its place.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not base:
         base = getattr(shared_dir, "fallback", None) or tempfile.mkdtemp(prefix="strata-")
         shared_dir.fallback = base
@@ -44,21 +47,43 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _made:
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended
             return
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = shared_dir(df.sparkSession)
+    df.write.parquet(f"{folder}/{name}")
+    out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out.stored_in = folder
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing still to be run will read."""
+    for t in tables:
+        spark, folder = t.sparkSession, t.stored_in
+        _delete(spark, folder)
+        _made.remove((spark, folder))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -85,6 +110,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         "edges",
     )
     labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
+    full = labels
     while True:
         near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
         met = labels.join(near, labels.node == near.u, "left").select(
@@ -94,8 +120,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         new = stored(
             met.join(up, met.label == up["at"], "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels"
         )
-        labels = new.select("node", "label")
+        free(full)
+        full, labels = new, new.select("node", "label")
+        labels.stored_in = new.stored_in
         if new.where("label < old").isEmpty():
+            free(both)
             return labels
 
 

@@ -3,8 +3,9 @@
 A sketch has one cell for each of P parts of the hash space; a set's cell is the XOR of the hashes that fall into it.
 One element more or less changes one cell, so the number of cells that differ never exceeds the symmetric difference,
 and neither does the Hamming distance of the cells' parity bits. Sets that are similar enough differ by at most D
-elements, D being known for a band of sizes; of P > D cells at least one is then equal, and equal cells make candidates.
-Candidates are verified on the whole sets.
+elements, D being known for a band of sizes; of P = D + 1 + S cells more than S are then equal, and equal cells make
+candidates. As more than S are equal, a set may leave out S cells of its band, if all sets agree on which go first: cells
+without an element, then those that most sets share. Candidates are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strata.llm.chunks import groups
-from strata.llm.common import connected_components, small, stored, text_or_empty
+from strata.llm.common import connected_components, free, fresh, small, stored, text_or_empty
 from strata.llm.shingles import U, mix, shingle_sets
 
 BAND_BITS = 8
-#: A task remembers so many sets to send only one of equals; when it is full it starts again.
-REMEMBERED = 500_000
 #: Rows of one side when the members of a large bucket are compared in blocks.
 BLOCK = 2048
+#: Cells that more sets share may be left out (as far as S allows); it costs a shuffle, so smaller ones are not.
+CROWDED = 16
 
 
 @dataclass(frozen=True)
@@ -67,7 +68,7 @@ def band_of(sim: Similarity, n: int) -> Band | None:
     while upper < n:
         upper, number = max(upper + 1, upper * 5 // 4), number + 1
     room = sim.room(upper, upper * sim.den // sim.num)
-    return Band(number, upper, room + 1 + room // 16, room // 16)
+    return Band(number, upper, room + 1 + room // 8, room // 8)
 
 
 @lru_cache(maxsize=None)
@@ -101,19 +102,25 @@ def parity_words(shingles: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
-def keys_of(shingles: np.ndarray, sim: Similarity) -> np.ndarray:
-    """Keys of the cells in all bands. Empty cells count only for a set with more of them than the band has to spare:
-    of a linked pair more than ``spare`` cells are equal, so one of them holds an element unless both have that many."""
-    out = []
+def emitted(shingles: np.ndarray, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the cells in all bands, and how many more of its band the set may leave out. The first S cells without an
+    element are left out already: all sets agree that those go first, in the order of their numbers."""
+    keys, more = [], []
     for band in bands_of(sim, len(shingles)):
         part, value = cells(shingles, band.parts)
-        if band.parts - len(part) > band.spare:
-            full = np.zeros(band.parts, dtype=U)
-            full[part.astype(np.int64)] = value
-            part, value = np.arange(band.parts, dtype=U), full
+        gaps = band.parts - len(part)
+        if gaps > band.spare:
+            rest = np.setdiff1d(np.arange(band.parts, dtype=U), part, assume_unique=True)[band.spare :]
+            part, value = np.concatenate([part, rest]), np.concatenate([value, np.zeros(len(rest), dtype=U)])
         key = mix(value ^ mix(part + U(band.parts << 32)))
-        out.append((key & ~U((1 << BAND_BITS) - 1)) | U(band.number))
-    return np.concatenate(out) if out else np.zeros(0, dtype=U)
+        keys.append((key & ~U((1 << BAND_BITS) - 1)) | U(band.number))
+        more.append(np.full(len(key), max(0, band.spare - gaps), dtype=np.int32))
+    return (np.concatenate(keys), np.concatenate(more)) if keys else (np.zeros(0, dtype=U), np.zeros(0, dtype=np.int32))
+
+
+def keys_of(shingles: np.ndarray, sim: Similarity) -> np.ndarray:
+    """Keys of the cells in all bands."""
+    return emitted(shingles, sim)[0]
 
 
 def signature(shingles: np.ndarray) -> tuple[int, int]:
@@ -123,86 +130,112 @@ def signature(shingles: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a.view(np.int64))), int(np.int64(U(b).view(np.int64)))
 
 
-def sets_of(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    for a, b in groups(texts):
-        yield from zip(ids[a:b], shingle_sets([t.encode() for t in texts[a:b]], k), strict=True)
-
-
 class ParityJoin:
-    """The join over one table of documents; every step is a table in the shared folder."""
+    """The join over one table of documents; every step is a table in the shared folder, deleted when it has been used.
+
+    What is joined are classes of equal sets, by a number ``set`` of their own. A row of the table is found again by
+    doc_id and a hash of its text, so rows may repeat doc_ids.
+    """
 
     def __init__(self, docs: DataFrame, k: int, num: int, den: int) -> None:
         self.k, self.sim = k, Similarity(num, den)
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty("text").alias("text"))
+        text = text_or_empty("text")
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("tid"), text.alias("text"))
 
-    def sizes(self) -> DataFrame:
-        """(doc, n, a, b): set size and signature of every document."""
+    def classes(self) -> tuple[DataFrame, DataFrame]:
+        """(doc, n, set) of every row, and (set, doc, tid) of the row that stands for a class: that of the smallest doc.
+        Rows without words or without a doc_id are in no class."""
         k = self.k
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(len(s), *signature(s)) for _, s in sets_of(batch, k)]
+                ids, texts = batch.column(0), batch.column(2).to_pylist()
+                rows = [(len(s), *signature(s)) for a, b in groups(texts) for s in shingle_sets([t.encode() for t in texts[a:b]], k)]
                 cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc", "n", "a", "b"])
-
-        return self.docs.mapInArrow(sign, "doc long, n long, a long, b long")
-
-    def classes(self) -> DataFrame:
-        """(doc, n, rep): documents with equal sets share the smallest one's id; documents without words stand alone."""
-        sizes = stored(self.sizes(), "sizes")
-        reps = stored(sizes.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc").alias("rep")), "reps")  # so that a skewed join can be split
-        return stored(sizes.join(reps, ["n", "a", "b"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "classes")
-
-    def buckets(self) -> DataFrame:
-        """(key, doc, hub, other, m): members of cells that at least two documents share, and two hubs of each cell."""
+                yield pa.RecordBatch.from_arrays([ids, batch.column(1), *(pa.array(c, pa.int64()) for c in cols)], ["doc", "tid", "n", "a", "b"])
+
+        sizes = stored(self.docs.mapInArrow(sign, "doc long, tid long, n long, a long, b long"), "sizes")
+        known = sizes.where("n > 0 and doc is not null")
+        reps = known.groupBy("n", "a", "b").agg(F.min(F.struct("doc", "tid")).alias("r")).select("n", "a", "b", "r.doc", "r.tid", F.monotonically_increasing_id().alias("set"))
+        reps = stored(reps, "reps")  # so that a skewed join can be split
+        rows = sizes.join(reps.select("n", "a", "b", "set"), ["n", "a", "b"], "left").select("doc", "n", F.when(F.col("doc").isNotNull(), F.col("set")).alias("set"))
+        rows = stored(rows, "rows")
+        free(sizes)
+        return rows, reps.select("set", F.col("doc").alias("__doc"), F.col("tid").alias("__tid"))
+
+    def texts(self, reps: DataFrame) -> DataFrame:
+        """(set, text) of the rows that stand for classes (more than one of a class only if rows repeat)."""
+        return self.docs.join(small(reps), (F.col("doc") == F.col("__doc")) & (F.col("tid") == F.col("__tid"))).select("set", "text")
+
+    def cells(self, texts: DataFrame) -> DataFrame:
+        """(key, set, more) of every cell of every set."""
         k, sim = self.k, self.sim
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[tuple[int, int, int]] = set()
             for batch in batches:
-                docs, keys = [], []
-                for doc, s in sets_of(batch, k):
-                    if not len(s) or doc is None or (sign := (len(s), *signature(s))) in seen:
-                        continue
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(sign)
-                    own = keys_of(s, sim)
-                    docs.append(np.full(len(own), doc, dtype=np.int64))
-                    keys.append(own)
-                if docs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs))], ["key", "doc"])
-
-        w = Window.partitionBy("key")
-        rows = self.docs.mapInArrow(emit, "key long, doc long")
-        return stored(
-            rows.withColumns({"m": F.count("*").over(w), "hub": F.min("doc").over(w), "other": F.min_by("doc", F.xxhash64("doc")).over(w)}).where("m > 1"), "buckets"
-        )
-
-    def sets(self, involved: DataFrame) -> DataFrame:
-        """(doc, n, shingles, sketches by band) of some documents."""
-        k, sim = self.k, self.sim
+                ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                for a, b in groups(texts):
+                    found = [emitted(s, sim) for s in shingle_sets([t.encode() for t in texts[a:b]], k)]
+                    keys = np.concatenate([x for x, _ in found])
+                    own = np.repeat(ids[a:b], [len(x) for x, _ in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own), pa.array(np.concatenate([m for _, m in found]))], ["key", "set", "more"])
+
+        return texts.mapInArrow(emit, "key long, set long, more int")
+
+    def members(self, texts: DataFrame) -> DataFrame:
+        """(key, set, hub, other) of the cells that at least two sets share: two hubs of each cell and all its sets,
+        except where a set leaves a crowded cell out."""
+        rows = self.cells(texts)
+        shared = rows.groupBy("key").agg(F.min("set").alias("hub"), F.max("set").alias("other"), F.count("*").alias("m")).where("hub <> other")
+        shared = stored(shared, "shared")  # aggregated before the shuffle, and joined, so that a crowded cell can be split
+        met = stored(rows.join(shared, "key"), "met")
+        free(shared)
+        order = Window.partitionBy("set", F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1))).orderBy(F.desc("m"), "key")
+        crowded = met.where(f"m > {CROWDED}").withColumn("rank", F.row_number().over(order)).where("rank > more").drop("rank")
+        members = stored(met.where(f"m <= {CROWDED}").unionByName(crowded).select("key", "set", "hub", "other"), "members")
+        free(met)
+        return members
+
+    def sets(self, involved: DataFrame, reps: DataFrame) -> DataFrame:
+        """(set, n, shingles) of some classes (more than once only if rows repeat)."""
+        k = self.k
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(d, len(s), s.view(np.int64), [(b.number, parity_words(s, b.parts).tobytes()) for b in bands_of(sim, len(s))]) for d, s in sets_of(batch, k)]
-                cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(list(cols[2]), pa.list_(pa.int64())), pa.array(list(cols[3]), pa.map_(pa.int32(), pa.binary()))],
-                    ["doc", "n", "shingles", "sketch"],
-                )
+                texts = batch.column(1).to_pylist()
+                rows = [s.view(np.int64) for a, b in groups(texts) for s in shingle_sets([t.encode() for t in texts[a:b]], k)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in rows], pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["set", "n", "shingles"])
 
-        chosen = self.docs.join(small(involved.withColumnRenamed("doc", "__doc")), F.col("doc") == F.col("__doc")).select("doc", "text")
-        return chosen.mapInArrow(build, "doc long, n long, shingles array<long>, sketch map<int,binary>").dropDuplicates(["doc"])
+        chosen = reps.join(involved, "set", "left_semi")
+        return self.texts(chosen).mapInArrow(build, "set long, n long, shingles array<long>")
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, on their whole sets."""
-        one = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-        two = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-        met = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+        hubs = sets.join(pairs.select(F.col("a").alias("set")).distinct(), "set", "left_semi")
+        one = hubs.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+        two = sets.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+        met = pairs.join(two, "b").join(one, "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
         return met.where(F.col("common") * self.sim.den >= (F.col("na") + F.col("nb") - F.col("common")) * self.sim.num).select("a", "b")
 
+    def sketches(self, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+        """(set, band, n, words): parity sketches of the bands in which a set is wanted."""
+        sim = self.sim
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [
+                    (i, b.number, n, parity_words(np.array(s, dtype=np.int64).view(U), b.parts).tobytes())
+                    for i, n, s, bands in zip(*[c.to_pylist() for c in batch.columns], strict=True)
+                    for b in bands_of(sim, n)
+                    if b.number in bands
+                ]
+                cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["set", "band", "n", "words"])
+
+        bands = wanted.groupBy("set").agg(F.collect_set("band").alias("bands"))  # two or three
+        return sets.join(bands, "set").select("set", "n", "shingles", "bands").mapInArrow(build, "set long, band int, n long, words binary")
+
     def survivors(self, members: DataFrame, every: bool) -> DataFrame:
         """Pairs (a, b) of one bucket with different labels whose sketches are near enough. Large buckets are cut into
         blocks, and every two blocks meet in a task of their own. Unless ``every``, a row names only its nearest
@@ -210,13 +243,13 @@ class ParityJoin:
         sim = self.sim
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         rows = (
-            members.withColumn("blk", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
+            members.withColumn("blk", F.pmod(F.xxhash64("set"), blocks).cast("int"))
             .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .withColumns({"i": F.least("blk", "with"), "j": F.greatest("blk", "with")})
         )
 
         def compare(table: pa.Table) -> pa.Table:
-            doc, label, n, blk = (table[c].to_numpy() for c in ("doc", "label", "n", "blk"))
+            doc, label, n, blk = (table[c].to_numpy() for c in ("set", "label", "n", "blk"))
             words = np.frombuffer(b"".join(table["words"].to_pylist()), dtype=U).reshape(len(doc), -1)
             i, j = table["i"][0].as_py(), table["j"][0].as_py()
             left, right = (np.flatnonzero(blk == i), np.flatnonzero(blk == j))
@@ -239,53 +272,108 @@ class ParityJoin:
             b = np.concatenate(b_out) if b_out else np.zeros(0, np.int64)
             return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-        return rows.select("key", "i", "j", "blk", "doc", "label", "n", "words").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
-
-    def components(self) -> DataFrame:
-        """(doc, n, component) of every document; component is the smallest doc_id reachable by links."""
-        classes = self.classes()
-        buckets = self.buckets()
-        reps = classes.select("doc", "rep")
-        hub_reps = classes.select(F.col("doc").alias("hub"), F.col("rep").alias("hub_rep"))
-        stars = buckets.select("doc", "hub").unionByName(buckets.select("doc", F.col("other").alias("hub"))).where("doc <> hub").distinct()
-        stars = stars.join(reps, "doc").join(hub_reps, "hub").where("rep <> hub_rep")
-        pairs = stored(stars.select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct(), "pairs")
-        equal = classes.where("doc <> rep").select(F.col("doc").alias("src"), F.col("rep").alias("dst")).distinct()
-
-        members = stored(buckets.where("m > 2").select("key", "doc").join(reps, "doc").select("key", F.col("rep").alias("doc")).distinct(), "members")
-        involved = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).unionByName(members.select("doc")).distinct()
-        sets = stored(self.sets(stored(involved, "involved")), "sets")
-        edges = stored(self.verified(pairs, sets), "links")
-        everything = None
+        return rows.select("key", "i", "j", "blk", "set", "label", "n", "words").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+    def mixed(self, inner: DataFrame, edges: DataFrame) -> DataFrame:
+        """(key, set, label, m) of the cells in which sets of different components are left."""
+        labels = connected_components(edges, "a", "b")
+        known = stored(inner.join(labels, F.col("set") == F.col("node"), "left").select("key", "set", F.coalesce("label", "set").alias("label")), "known")
+        free(labels)
+        keys = stored(known.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "m"), "keys")
+        mixed = stored(known.join(keys, "key"), "mixed")
+        free(known, keys)
+        return mixed
+
+    def links(self, reps: DataFrame) -> DataFrame:
+        """(a, b): links between classes that leave no link between two components."""
+        members = self.members(self.texts(reps))
+        stars = members.select("set", "hub").unionByName(members.select("set", F.col("other").alias("hub"))).where("set <> hub")
+        pairs = stored(stars.groupBy(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).agg(F.count("*").alias("times")), "pairs")
+        # Sets that neither hub stands for are left to be compared with each other, in cells that have two of them.
+        inner = members.where("set <> hub and set <> other").select("key", "set").distinct()
+        crowd = inner.groupBy("key").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo <> hi").select("key")
+        inner = stored(inner.join(crowd, "key", "left_semi"), "inner")
+        free(members)
+        involved = stored(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).unionByName(inner.select("set")).distinct(), "involved")
+        sets = stored(self.sets(involved, reps), "sets")
+        if sets.count() > involved.count():  # rows repeat
+            sets, old = stored(sets.dropDuplicates(["set"]), "sets"), sets
+            free(old)
+        free(involved)
+        # First the hub that a set shares most cells with; then what still lies between two components.
+        most = Window.partitionBy("b").orderBy(F.desc("times"), "a")
+        best = stored(pairs.withColumn("rank", F.row_number().over(most)).where("rank = 1").select("a", "b"), "best")
+        edges = stored(self.verified(best, sets), "links")
+        labels = connected_components(edges, "a", "b")
+        one, two = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        apart = pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        apart = stored(apart.join(best, ["a", "b"], "left_anti"), "apart")
+        free(labels, best)
+        more = stored(self.verified(apart, sets), "links")
+        free(apart)
+        edges, old = stored(edges.unionByName(more), "links"), (edges, more)
+        free(*old)
         # The nearest partners may all have been tried: only the second, complete round tells that no link is left.
         for every in (False, True):
-            labels = connected_components(edges, "a", "b")
-            w = Window.partitionBy("key")
-            known = members.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
-            mixed = known.withColumns({"lo": F.min("label").over(w), "hi": F.max("label").over(w), "m": F.count("*").over(w)}).where("lo <> hi").drop("lo", "hi")
-            band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
-            mixed = mixed.join(sets.select("doc", "n", "sketch"), "doc").withColumn("words", F.element_at("sketch", band)).drop("sketch")
-            found = stored(self.survivors(mixed, every).join(pairs, ["a", "b"], "left_anti"), "survivors")
+            mixed = self.mixed(inner, edges)
+            wanted = mixed.select("set", F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int").alias("band"))
+            sketches = stored(self.sketches(sets, wanted), "sketches")
+            with_words = mixed.withColumn("band", F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")).join(sketches, ["set", "band"])
+            found = stored(self.survivors(with_words, every).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "survivors")
+            free(mixed, sketches)
             new = stored(self.verified(found, sets), "links")
-            everything = edges = stored(edges.unionByName(new), "links")
-        links = everything.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(equal)
-        labels = connected_components(links)
-        return classes.join(labels, F.col("doc") == F.col("node"), "left").select("doc", "n", F.coalesce("label", "doc").alias("component"))
+            edges, old = stored(edges.unionByName(new), "links"), (edges, found, new)
+            free(*old)
+        free(inner, pairs, sets)
+        return edges
+
+    def components(self) -> DataFrame:
+        """(doc, n, component) of every row; component is the smallest doc_id reachable by links."""
+        rows, reps = self.classes()
+        links = self.links(reps)
+        known = rows.where("set is not null")
+        # Rows of one doc_id are one document: what one of them links with, all do.
+        first = known.groupBy("doc").agg(F.min("set").alias("first"), F.max("set").alias("last")).where("first <> last").select(F.col("doc").alias("__doc"), "first")
+        same = known.join(first, F.col("doc") == F.col("__doc")).where("set <> first").select(F.col("set").alias("a"), F.col("first").alias("b")).distinct()
+        edges = stored(links.unionByName(same), "edges")
+        labels = connected_components(edges, "a", "b")
+        free(links, edges)
+        labelled = stored(known.join(labels, F.col("set") == F.col("node"), "left").select("doc", F.coalesce("label", "set").alias("label")), "labelled")
+        free(labels)
+        smallest = stored(labelled.groupBy("label").agg(F.min("doc").alias("component")), "smallest")
+        found = stored(labelled.join(smallest, "label").groupBy(F.col("doc").alias("__doc")).agg(F.min("component").alias("component")), "found")
+        free(labelled, smallest)
+        return rows.join(found, F.col("doc") == F.col("__doc"), "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
 
 
 def link_documents(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
     Documents without text or words have an empty set and link with nothing. Texts of fewer than k words have one
-    shingle. Equal sets always link. A null doc_id stands alone with a null component; rows with equal doc_id count as
-    one document for links.
+    shingle. Equal sets always link. A null doc_id stands alone with a null component; rows with equal doc_id are one
+    document for links, each with the size of its own set. Texts of any length are read whole; other columns are not
+    used, whatever their names. An empty table gives an empty one.
     """
     out = ParityJoin(docs, k, num, den).components()
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents that have the smallest doc_id of their group of near copies, with their own columns."""
-    groups_of = link_documents(docs, k, num, den)
-    dropped = groups_of.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(small(dropped), F.col("doc_id") == F.col("__dropped"), "left_anti")
+    """The documents that have the smallest doc_id of their group of near copies, with their own columns.
+
+    Of rows with equal doc_id one stays, with the first text in order. Null doc_ids, and texts without words, link with
+    nothing and stay. An empty table stays empty.
+    """
+    mark = fresh(docs, "__doc")
+    out = stored(link_documents(docs, k, num, den), "groups")
+    dropped = out.where("doc_id <> component_id").select(F.col("doc_id").alias(mark)).distinct()
+    kept = docs.join(small(dropped), F.col("doc_id") == F.col(mark), "left_anti")
+    again = out.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(mark))
+    again = stored(again, "again")
+    if again.isEmpty():
+        return kept
+    rest = kept.join(small(again), F.col("doc_id") == F.col(mark), "left_anti")
+    several = kept.join(small(again), F.col("doc_id") == F.col(mark), "left_semi")
+    first = several.groupBy(F.col("doc_id").alias(mark)).agg(F.min(text_or_empty("text")).alias(f"{mark}text"))
+    one = several.join(first, (F.col("doc_id") == F.col(mark)) & (text_or_empty("text") == F.col(f"{mark}text")), "left_semi").dropDuplicates(["doc_id"])
+    return rest.unionByName(one)

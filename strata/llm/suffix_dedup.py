@@ -2,9 +2,11 @@
 
 Every string of LENGTH bytes has one anchor: of the K-byte strings in it the one with the smallest hash, the rightmost
 of equals. Equal strings have their anchors at the same place, so only suffixes that begin at an anchor need sorting, and
-of those only the ones whose anchor occurs twice. Sampled splitters deal these suffixes out by their leading bytes; each
-bucket sorts what stands right and left of its anchors, eight bytes at a time, and neighbours in that order tell which
-strings around an anchor occur again.
+of those only the ones whose anchor occurs twice. Suffixes that are equal as a whole are counted first, by 128-bit hashes,
+and stand as one. Sampled splitters deal the others out by their leading bytes; each bucket sorts what stands right and
+left of its anchors, eight bytes at a time, and neighbours in that order tell which strings around an anchor occur again.
+Suffixes of one anchor have equal leading bytes and hash, so they are in one bucket and nothing is left to compare across
+the boundaries of buckets.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import small, stored, text_or_empty
+from strata.llm.common import free, fresh, small, stored, text_or_empty
 from strata.llm.shingles import U, _bytes, mix, powers
 
 LENGTH = 200
@@ -27,7 +29,7 @@ WIDTH = LENGTH - K + 1
 PIECE = 1 << 21
 INDEX_BITS = 22
 LEAD = 16
-#: An anchor that occurs more often than this is split: every string around it becomes a suffix of its own.
+#: An anchor with more different suffixes than this is split: every string around it becomes a suffix of its own.
 HOT = 50_000
 #: Suffixes of a bucket that are sorted together.
 SORTED = 20_000
@@ -144,36 +146,34 @@ def repeated(group: np.ndarray, left: list[bytes], right: list[bytes], low: np.n
 
 
 class Bucket:
-    """Suffixes in order of their anchors, taken in row by row; finds (row, start, end) of strings that occur again."""
+    """Suffixes in order of their anchors, taken in one by one, each with the number of its equals; finds (row, start, end)
+    of strings that occur again, but for suffixes that have equals."""
 
     def __init__(self) -> None:
-        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.found: list[tuple[int, int, int]] = []
         self.key: tuple | None = None
         self.seen: dict[tuple[int, bytes], int] = {}
-        self.segments: list[tuple] = []  # (group, left length, bytes, strings, rows, anchors)
+        self.segments: list[tuple] = []  # (group, left length, bytes, strings, row, anchor)
         self.times: list[int] = []
         self.group = self.first = 0
 
-    def spans(self, rows: list[int], at: list[int], low: int, high: int) -> None:
-        at = np.array(at, dtype=np.int64)
-        self.found.append((np.array(rows, dtype=np.int64), at - high, at - low + LENGTH))
+    def span(self, row: int, at: int, low: int, high: int) -> None:
+        self.found.append((row, at - high, at - low + LENGTH))
 
-    def add(self, key: tuple, left: int, body: bytes, count: int, rows: list[int], at: list[int]) -> None:
+    def add(self, key: tuple, left: int, body: bytes, count: int, row: int, at: int, times: int) -> None:
         if key != self.key:
             self.close()
             self.key = key
         known = self.seen.get((left, body))
         if known is None:
             self.seen[left, body] = len(self.segments)
-            self.segments.append((self.group, left, body, count, rows, at))
-            self.times.append(len(rows))
-            if len(rows) > 1:
-                self.spans(rows, at, left - count + 1, left)
+            self.segments.append((self.group, left, body, count, row, at))
+            self.times.append(times)
             return
         if self.times[known] == 1:  # equal suffixes repeat all their strings
-            self.spans(self.segments[known][4], self.segments[known][5], left - count + 1, left)
-        self.times[known] += len(rows)
-        self.spans(rows, at, left - count + 1, left)
+            self.span(self.segments[known][4], self.segments[known][5], left - count + 1, left)
+        self.times[known] += times
+        self.span(row, at, left - count + 1, left)
 
     def close(self) -> None:
         """The group is complete; one that has a single suffix has been dealt with already."""
@@ -187,29 +187,24 @@ class Bucket:
 
     def sort(self) -> None:
         if self.segments:
-            group, left, body, count, rows, at = zip(*self.segments, strict=True)
+            group, left, body, count, row, at = zip(*self.segments, strict=True)
             left, count = np.array(left), np.array(count)
             dup = repeated(np.array(group), [b[:n][::-1] for b, n in zip(body, left.tolist(), strict=True)], [b[n:] for b, n in zip(body, left.tolist(), strict=True)], left - count + 1, left, np.array(self.times))
             for i in np.flatnonzero((np.array(self.times) == 1) & dup.any(axis=1)).tolist():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], dup[i].view(np.int8), [0]])))
                 for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
-                    self.spans(rows[i], at[i], a, b - 1)
+                    self.span(row[i], at[i], a, b - 1)
         self.segments, self.times, self.first = [], [], 0
 
     def batch(self) -> pa.RecordBatch:
-        cols = [np.concatenate(c) for c in zip(*self.found, strict=True)] if self.found else [np.zeros(0, np.int64)] * 3
+        cols = np.array(self.found, dtype=np.int64).reshape(-1, 3).T
         self.found = []
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["row", "start", "end"])
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__row``, which tells rows apart by doc_id and text (equal rows have equal spans)."""
-    return docs.withColumn("__row", F.xxhash64("doc_id", text_or_empty("text")))
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(row, start, end): byte spans of strings of LENGTH bytes that start more than once in the table. They overlap."""
-    texts = keyed(docs.select("doc_id", "text")).select(F.col("__row").alias("row"), text_or_empty("text").alias("text"))
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """(row, start, end): byte spans of strings of LENGTH bytes that start more than once in the table (row, text), in which
+    ``row`` is unique. They overlap."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,63 +217,80 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 )
 
     found = stored(texts.mapInArrow(find, "h long, row long, at long, q long, c int"), "anchors")
-    shared = stored(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared")  # so that a skewed join can be split
-    kept = found.join(shared, "h").groupBy("row").agg(F.collect_list(F.struct("h", "at", "q", "c", "n")).alias("anchors"))  # bounded by the text
+    shared = stored(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")  # so that a skewed join can be split
+    kept = found.join(shared, "h").groupBy("row").agg(F.collect_list(F.struct("h", "at", "q", "c")).alias("anchors"))  # bounded by the text
     kept = stored(kept, "shared_anchors")
+    free(found, shared)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[tuple, tuple[list[int], list[int]]] = {}
-
-            def put(h: int, lead: bytes, left: int, body: bytes, count: int, row: int, at: int) -> None:
-                own = rows.setdefault((lead, h, left, body, count), ([], []))
-                own[0].append(row)
-                own[1].append(at)
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for row, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                data = text.encode()
+                for m in marks:
+                    h, at, q, count = m["h"], m["at"], m["q"], m["c"]
+                    sig = hashlib.blake2b(data[q : q + count - 1 + LENGTH], digest_size=16, salt=(at - q).to_bytes(8, "little")).digest()
+                    for column, value in zip(out, (sig, row, h, at, q, count), strict=True):
+                        column.append(value)
+            types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["sig", "row", "h", "at", "q", "c"])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
             for row, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = text.encode()
-                for m in {(m["h"], m["at"], m["q"], m["c"], m["n"]) for m in marks}:
-                    h, at, q, count, n = m
-                    if n <= HOT:
-                        put(h, data[at : at + LEAD], at - q, data[q : q + count - 1 + LENGTH], count, row, at)
+                for m in marks:
+                    h, at, q, count, times = m["h"], m["at"], m["q"], m["c"], m["times"]
+                    if m["n"] <= HOT:
+                        out.append((data[at : at + LEAD], h, at - q, data[q : q + count - 1 + LENGTH], count, row, at, times))
                     else:
                         for s in range(q, q + count):
                             body = data[s : s + LENGTH]
-                            put(int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True), body[:LEAD], 0, body, 1, row, s)
-            keys = list(rows)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in keys], pa.binary()),
-                    pa.array([k[1] for k in keys], pa.int64()),
-                    pa.array([k[2] for k in keys], pa.int32()),
-                    pa.array([k[3] for k in keys], pa.binary()),
-                    pa.array([k[4] for k in keys], pa.int32()),
-                    pa.array([rows[k][0] for k in keys], pa.list_(pa.int64())),
-                    pa.array([rows[k][1] for k in keys], pa.list_(pa.int64())),
-                ],
-                ["lead", "h", "left", "body", "c", "rows", "at"],
-            )
+                            out.append((body[:LEAD], int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True), 0, body, 1, row, s, times))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 8
+            types = (pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["lead", "h", "left", "body", "c", "row", "at", "times"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = Bucket()
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for lead, h, left, body, count, rows, at in zip(*cols, strict=True):
-                bucket.add((lead, h), left, body, count, rows, at)
+            for lead, h, left, body, count, row, at, times in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                bucket.add((lead, h), left, body, count, row, at, times)
             yield bucket.batch()
         bucket.close()
         bucket.sort()
         yield bucket.batch()
 
-    once = involved(texts, kept.select("row"))
-    marked = once.join(kept.withColumnRenamed("row", "__r"), F.col("row") == F.col("__r")).select("row", "text", "anchors")
-    suffixes = marked.mapInArrow(cut, "lead binary, h long, left int, body binary, c int, rows array<long>, at array<long>")
-    return suffixes.repartitionByRange("lead", "h").sortWithinPartitions("lead", "h").mapInArrow(sort, "row long, start long, end long")
-
-
-def involved(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows that have (or, anti, don't have) an id in the table; without a shuffle of the texts while the ids are few."""
-    return rows.join(small(ids.select(F.col("row").alias("__id"))), F.col("row" if "row" in rows.columns else "__row") == F.col("__id"), how)
+    def marked(anchors: DataFrame) -> DataFrame:
+        """Texts of the rows that have anchors, with those."""
+        once = involved(texts, "row", anchors.select("row"))
+        return once.join(anchors.withColumnRenamed("row", "__r"), F.col("row") == F.col("__r")).select("row", "text", "anchors")
+
+    suffixes = stored(marked(kept).mapInArrow(sign, "sig binary, row long, h long, at long, q long, c int"), "suffixes")
+    free(kept)
+    first = F.min(F.struct("row", "at", "q", "c", "h")).alias("first")
+    equal = stored(suffixes.groupBy("sig").agg(F.count("*").alias("times"), first).select("sig", "times", "first.*"), "equal")
+    end = (F.col("q") + F.col("c") - 1 + LENGTH).alias("end")
+    copies = suffixes.join(equal.where("times > 1").select("sig"), "sig").select("row", F.col("q").alias("start"), end)
+    copies = stored(copies, "copies")
+    free(suffixes)
+    several = stored(equal.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    alone = equal.join(several, "h").groupBy("row").agg(F.collect_list(F.struct("h", "at", "q", "c", "times", "n")).alias("anchors"))
+    alone = stored(alone, "different")
+    free(equal, several)
+    bodies = stored(marked(alone).mapInArrow(cut, "lead binary, h long, left int, body binary, c int, row long, at long, times long"), "bodies")
+    free(alone)
+    sorted_ = stored(bodies.repartitionByRange("lead", "h").sortWithinPartitions("lead", "h").mapInArrow(sort, "row long, start long, end long"), "sorted")
+    free(bodies)
+    return sorted_.unionByName(copies)
+
+
+def involved(rows: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows that have (or, anti, don't have) an id in the table's column ``row``; without a shuffle of the texts while the
+    ids are few."""
+    mark = fresh(rows, "__id")
+    return rows.join(small(ids.select(F.col("row").alias(mark))), F.col(key) == F.col(mark), how)
 
 
 def merged(spans: list[dict], data: bytes) -> list[tuple[int, int]]:
@@ -291,13 +303,18 @@ def merged(spans: list[dict], data: bytes) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def with_spans(docs: DataFrame, handle: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, columns: list[str | Column], other: list[Column]) -> DataFrame:
-    """``handle`` over the rows that hold repeated strings (columns ..., __spans last), ``other`` over the rest."""
-    spans = repeated_spans(docs).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))  # bounded by the text
-    spans = stored(spans, "spans")
-    rows = keyed(docs)
-    hit = involved(rows, spans).join(spans, F.col("__row") == F.col("row")).select(*columns, "__spans")
-    return hit.mapInArrow(handle, schema).unionByName(involved(rows, spans, "left_anti").select(*other))
+def with_spans(docs: DataFrame, handle: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, columns: list[Column], other: list[Column]) -> DataFrame:
+    """``handle`` over the rows that hold repeated strings (``columns``, then their spans), ``other`` over the rest.
+
+    Rows are numbered and stored, so that each is found again whatever else is equal in two of them.
+    """
+    row = fresh(docs, "__row")
+    base = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    at, spans_at = fresh(base, "__at"), fresh(base, "__spans")
+    found = repeated_spans(base.select(F.col(row).alias("row"), text_or_empty("text").alias("text")))
+    spans = stored(found.distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias(spans_at)), "spans")  # bounded by the text
+    hit = involved(base, row, spans).join(spans.withColumnRenamed("row", at), F.col(row) == F.col(at)).select(*columns, spans_at)
+    return hit.mapInArrow(handle, schema).unionByName(involved(base, row, spans, "left_anti").select(*other))
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -305,7 +322,8 @@ def removed(docs: DataFrame) -> DataFrame:
 
     Texts are UTF-8 bytes, a null text none. Every byte in a string of LENGTH bytes that also starts anywhere else, in
     the same text or another, is removed, in all places. Empty and shorter texts keep all. Repeated rows remove each
-    other's text like any other copies.
+    other's text like any other copies, and each has a row of its own; so do null doc_ids. Texts of any length are read
+    whole. Other columns are not used, whatever their names. An empty table gives an empty one.
     """
 
     def handle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +363,8 @@ def removed(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated strings taken out of ``text`` (and ``n_chars`` set anew, if there is such a column).
 
-    Only whole characters go, so what stays is text. No row is dropped.
+    Only whole characters go, so what stays is text. No row is dropped, and every other column stays as it is, whatever
+    its name: nulls, repeated rows and equal doc_ids too. A null text stays null.
     """
     names = docs.columns
     at = names.index("text")
@@ -371,4 +390,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 cols[i] = pa.array([len(t) for t in out], pa.int64()).cast(cols[i].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return with_spans(docs, handle, docs.schema, [F.col(c) for c in names], [F.col(c) for c in names])
+    own = [F.col(f"`{c}`") for c in names]
+    return with_spans(docs, handle, docs.schema, own, own)

@@ -55,11 +55,12 @@ def gathered(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndar
 
 
 class Encoder:
-    """A byte-level tokenizer of the tokenizers library; special tokens' strings in a text are ordinary text.
+    """A byte-level tokenizer of the tokenizers library, as its file says.
 
     A plain text (see chunks.plain) is cut before every blank and line feed, where the tokenizer cuts it too. Pieces are
     told apart by two 64-bit hashes; only those not met before are cut into words by the tokenizer's own pattern, and
-    its model encodes every new word once. What is remembered is bounded. Any other text is encoded whole.
+    its model encodes every new word once. What is remembered is bounded. Any other text is encoded whole, and so is one
+    that holds the string of an added token, which the tokenizer finds before it cuts.
     """
 
     def __init__(self, path: str) -> None:
@@ -67,10 +68,11 @@ class Encoder:
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        added = [x["content"] for x in spec.get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.known = model["type"] == "BPE" and not spec.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
         if self.known:
             merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -81,6 +83,9 @@ class Encoder:
             self.feed = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, dtype="<i4")
         self.forget()
 
+    def plain(self, text: str) -> bool:
+        return bool(self.known and text and plain(text) and not (self.added and self.added.search(text)))
+
     def forget(self) -> None:
         self.keys, self.check = np.zeros(0, dtype=U), np.zeros(0, dtype=U)
         self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype="<i4")
@@ -112,9 +117,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
-        if len(texts) == 1 and len(texts[0]) > PORTION and self.known and plain(texts[0]) and " " in texts[0][1:]:
+        if len(texts) == 1 and len(texts[0]) > PORTION and self.plain(texts[0]) and " " in texts[0][1:]:
             return [b"".join(self.encode([p])[0] for p in portions(texts[0]))]
-        easy = [i for i, t in enumerate(texts) if self.known and t and plain(t)]
+        easy = [i for i, t in enumerate(texts) if self.plain(t)]
         out = dict(zip(easy, self.encode_plain([texts[i].encode() for i in easy]), strict=True)) if easy else {}
         return [out[i] if i in out else self.whole(t) for i, t in enumerate(texts)]
 
@@ -166,7 +171,8 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0)
 
     ``part`` numbers the written ranges in that order and ``before`` counts the ids of a range ahead of a document.
     Every document ends with ``end_id``. A null text is an empty one; null doc_ids come first; rows with equal doc_id
-    follow in order of their texts. Texts are sorted before they are encoded: they are smaller than their ids.
+    follow in order of their texts. Texts are sorted before they are encoded: they are smaller than their ids. Texts of
+    any length are encoded whole, other columns are not used, and an empty table gives an empty file.
     """
 
     end = np.array([end_id], dtype="<i4").tobytes()

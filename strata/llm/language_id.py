@@ -8,25 +8,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strata.llm.chunks import PORTION, groups, portions
+from strata.llm.common import fresh
 from strata.llm.shingles import U, mix
 
-#: The model learns from at most this many documents of each language, those with the smallest hash of their doc_id ...
+#: The model learns from the whole texts of at most this many documents of each language, those with the smallest hash.
 SAMPLE = 600
-#: ... and keeps, for words and for each length of n-gram, this many of the most frequent of each language.
-KEPT = 30_000
 LONGEST = 4
-#: Evidence counts as that of at most so many words, else the score of any longer text would be 0 or 1.
-WORDS = 30
 #: Words remembered by a worker.
 REMEMBERED = 200_000
 UNKNOWN = "und"
+#: The pipeline rejects documents whose language has a smaller share of the evidence.
+LEAST = 0.4
 
-WORD = re.compile(r"[^\W\d_]+")
+# Word characters are letters, digits and other numbers; only letters make words.
+OTHER_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{OTHER_NUMBERS}]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -53,15 +55,21 @@ def code_points(text: str) -> np.ndarray:
 class Model:
     """Log frequencies of words and n-grams by language; languages in order, which decides ties."""
 
-    def __init__(self, counts: dict[tuple[str, int], dict[str, int]]) -> None:
-        self.langs = sorted({lang for lang, _ in counts})
-        self.words: dict[str, int] = {}
+    def __init__(self, counts: dict[tuple[str, int], dict[str, int]] | pa.Table) -> None:
+        """Counts by language and length of the gram (0: whole words), or a table (lang, n, gram, c) of them."""
+        if not isinstance(counts, pa.Table):
+            rows = [(lang, n, g, c) for (lang, n), x in counts.items() for g, c in x.items()]
+            counts = pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "n", "gram", "c"])
+        self.langs = sorted(counts["lang"].unique().to_pylist())
         self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in range(LONGEST + 1):
-            by = [counts.get((lang, n), {}) for lang in self.langs]
-            seen = sorted(set().union(*by)) if by else []
-            total = [sum(x.values()) + 0.5 * (len(seen) + 1) for x in by]
-            logs = np.log(np.array([[x.get(g, 0) + 0.5 for x in by] for g in seen]).reshape(len(seen), len(by)) / np.array(total))
+            some = counts.filter(pc.equal(counts["n"], n))
+            coded = some["gram"].combine_chunks().dictionary_encode()
+            seen = coded.dictionary.to_pylist()
+            table = np.full((len(seen), len(self.langs)), 0.5)
+            where = np.array([self.langs.index(x) for x in some["lang"].to_pylist()], dtype=np.int64)
+            np.add.at(table, (coded.indices.to_numpy(), where), some["c"].to_numpy())
+            logs = np.log(table / (table.sum(axis=0) + 0.5))
             if n == 0:
                 self.words, self.logs = {w: i for i, w in enumerate(seen)}, logs
             else:
@@ -126,7 +134,7 @@ class Model:
     def decided(self, count: int, total: np.ndarray) -> tuple[str, float]:
         if not count or not self.langs:
             return UNKNOWN, 0.0
-        total = total * min(1.0, WORDS / count)
+        total = total / np.sqrt(count)  # else the score of any long text would be 1
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -139,13 +147,15 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 def train(docs: DataFrame) -> Model:
     """Learn from text and lang of documents that are not held out. The sample is bounded by SAMPLE documents of a
-    language, the model by KEPT entries; what comes to the driver is the model."""
-    ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang")
-    dice = [F.xxhash64("doc_id"), F.col("doc_id")]
-    for keys in (["lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))], ["lang"]):  # the first of each of 64 parts, then of those
-        ids = ids.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*dice))).where(F.col("__rn") <= SAMPLE).drop("__rn")
-    chosen = ids.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
-    sample = docs.join(F.broadcast(chosen), docs["doc_id"].eqNullSafe(F.col("__id")) & (docs["lang"] == F.col("__lang"))).select("lang", "text")
+    language; all their words and n-grams make the model, which is what comes to the driver."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
+    # About twice the sample has a hash below its language's limit, so that no more than that is ranked in one task.
+    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    limits = docs.sparkSession.createDataFrame([(lang, min(1 << 30, (2 * SAMPLE << 30) // n)) for lang, n in held.items()], "__lang string, __limit long")
+    dice = F.xxhash64("doc_id", "text")
+    near = rows.join(F.broadcast(limits), F.col("lang") == F.col("__lang")).where(F.pmod(dice, F.lit(1 << 30)) < F.col("__limit"))
+    first = Window.partitionBy("lang").orderBy(F.pmod(dice, F.lit(1 << 30)), dice)
+    sample = near.withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= SAMPLE).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[tuple[str, int], Counter] = defaultdict(Counter)
@@ -168,21 +178,19 @@ def train(docs: DataFrame) -> Model:
         yield flush()
 
     table = sample.mapInArrow(count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    top = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram")
-    counts: dict[tuple[str, int], dict[str, int]] = defaultdict(dict)
-    for r in table.withColumn("rn", F.row_number().over(top)).where(F.col("rn") <= KEPT).select("lang", "n", "gram", "c").toArrow().to_pylist():
-        counts[r["lang"], r["n"]][r["gram"]] = r["c"]
-    return Model(counts)
+    return Model(table.toArrow())
 
 
-def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1, the chosen language's share of the evidence).
+def identify(docs: DataFrame, model: Model | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (0 to 1, the chosen language's share of the evidence), or other names;
+    columns that have these names are replaced.
 
-    Only the text is used. A null text and one without letters are ``und`` with score 0, and so is every text if no
-    labelled document could be learned from. Equal evidence goes to the first language in order.
+    Only the text is used, all of it, however long. A null text and one without letters are ``und`` with score 0, and so
+    is every text if no labelled document could be learned from. Equal evidence goes to the first language in order.
+    Repeated rows are predicted alike. An empty table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model or train(docs))
-    held = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    held = [c for c in docs.columns if c not in names]
     at = held.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +198,11 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             out = [x for a, b in groups(texts_or_empty(texts)) for x in own.predict(texts[a:b])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=[*held, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=[*held, *names])
 
-    schema = docs.select(*held).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return docs.select(*held).mapInArrow(predict, schema)
+    own = [F.col(f"`{c}`") for c in held]
+    schema = docs.select(*own).withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema
+    return docs.select(*own).mapInArrow(predict, schema)
 
 
 def texts_or_empty(texts: list[str | None]) -> list[str]:
@@ -201,12 +210,13 @@ def texts_or_empty(texts: list[str | None]) -> list[str]:
 
 
 def predictions(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every document. Repeated rows are predicted alike."""
+    """doc_id, held_out, lang_pred, score for every row, as ``identify`` says; a null doc_id is held out like an empty one."""
     own = docs.select("doc_id", "text", "lang")
     return identify(own.select("doc_id", "text"), train(own)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The documents whose language is known with at least this score, with their own columns."""
-    rows = identify(docs, train(docs.select("doc_id", "text", "lang")))
-    return rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The documents whose language is known with at least this score, with their own columns, whatever their names."""
+    names = (fresh(docs, "__lang_pred"), fresh(docs, "__score"))
+    rows = identify(docs, train(docs.select("doc_id", "text", "lang")), names)
+    return rows.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.llm.common import running_sum, small, stored, text_or_empty
+from strata.llm.common import fresh, running_sum, small, stored, text_or_empty
 
 LEVELS = ("domain", "lang", "source")
 #: Target weights of the queries; siblings not named have weight 1.
 WEIGHTS = {"domain": {"d0": 2.0}, "lang": {"en": 2.0}}
-#: Buckets in which the running sum of a leaf is taken.
-BUCKETS_BITS = 10
+#: Rows of a bucket in which the running sum of a leaf is taken, on average, if all rows were in one leaf.
+BUCKET_ROWS = 4096
 WHITE = r"\x20\x09-\x0D"
 
 
@@ -51,14 +51,14 @@ def fill(nodes: DataFrame, parents: list[str], order: str) -> DataFrame:
 
 
 def budgets(leaves: DataFrame, share: float, total: int | None, max_epochs: float, weights: dict[str, dict[str, float]]) -> DataFrame:
-    """``leaves`` (levels, tokens) with ``budget`` in whole tokens."""
+    """``leaves`` (levels, tokens; read more than once) with ``budget`` in whole tokens."""
     levels = list(LEVELS)
-    wanted = F.lit(float(total)) if total is not None else F.sum("tokens").over(Window.partitionBy()) * share
-    nodes = leaves.withColumns({"capacity": F.col("tokens") * float(max_epochs), "wanted": wanted})
+    nodes = leaves.withColumn("capacity", F.col("tokens") * float(max_epochs))
     for level in levels:
         nodes = nodes.withColumn("capacity", F.when(weight(level, weights.get(level, {})) > 0, F.col("capacity")).otherwise(0.0))
-    nodes = nodes.where("capacity > 0")
-    above = nodes.withColumn("parent_budget", F.least(F.col("wanted"), F.sum("capacity").over(Window.partitionBy())))
+    held, capacity = nodes.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("capacity"), F.lit(0.0))).first()
+    wanted = float(total) if total is not None else held * share
+    above = nodes.where("capacity > 0").withColumn("parent_budget", F.lit(min(wanted, capacity)))
     for i, level in enumerate(levels):
         parents, own = levels[:i], levels[: i + 1]
         family = above.groupBy(*own).agg(F.sum("capacity").alias("capacity"), F.first("parent_budget").alias("parent_budget")).withColumn("weight", weight(level, weights.get(level, {})))
@@ -67,52 +67,67 @@ def budgets(leaves: DataFrame, share: float, total: int | None, max_epochs: floa
     return above.select(*levels, "tokens", F.floor(F.col("parent_budget") + 1e-6).cast("long").alias("budget"))
 
 
-def select(docs: DataFrame, share: float = 1.0, total: int | None = None, max_epochs: int = 2, weights: dict[str, dict[str, float]] | None = None, seed: int = 11, domains: Column | None = None) -> DataFrame:
-    """(key, doc_id, domain, lang, source, n_tokens, epoch, taken): what each epoch of each leaf takes of a document.
-
-    Budgets sum to ``total`` tokens (or ``share`` of all), less what ``max_epochs`` passes cannot give. ``taken`` is
-    less than ``n_tokens`` only for the one document in which a leaf's budget ends. Tokens are words. Null languages and
-    sources are nodes of their own; documents without words are never taken; repeated rows are taken one by one.
-    """
-    text = text_or_empty("text")
-    rows = stored(
-        docs.select(
-            F.xxhash64("doc_id", text).alias("key"),
-            "doc_id",
-            (domain(F.col("source")) if domains is None else domains).alias("domain"),
-            "lang",
-            "source",
-            F.regexp_count(text, F.lit(f"[^{WHITE}]+")).cast("long").alias("n_tokens"),
-        ).where("n_tokens > 0"),
-        "tokens",
-    )
+def chosen(rows: DataFrame, share: float, total: int | None, max_epochs: int, weights: dict[str, dict[str, float]] | None, seed: int) -> DataFrame:
+    """``rows`` (row, unique; dice; levels; n_tokens; others) that are stored, with what each epoch takes of them."""
     levels = list(LEVELS)
-    leaves = stored(budgets(rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")), share, total, max_epochs, weights or {}), "budgets")
+    sums = stored(rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")), "leaves")
+    leaves = stored(budgets(sums.drop("n"), share, total, max_epochs, weights or {}), "budgets")
     named = leaves.select(*[F.col(c).alias(f"__{c}") for c in levels], (F.col("budget") / F.col("tokens")).cast("long").alias("whole"), (F.col("budget") % F.col("tokens")).alias("rest"))
     met = rows.join(small(named), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in levels]).drop(*[f"__{c}" for c in levels])
-    dice = F.xxhash64("key", F.lit(seed), "whole")
-    met = met.withColumn("dice", dice)
-    placed = running_sum(met, levels, [F.col("dice"), F.col("key")], F.col("n_tokens"), F.shiftright("dice", 64 - BUCKETS_BITS), "before")
+    met = met.withColumn("dice", F.xxhash64("dice", F.lit(seed), "whole"))
+    bits = max(10, ((sums.agg(F.sum("n")).first()[0] or 0) // BUCKET_ROWS).bit_length())
+    placed = running_sum(met, levels, [F.col("dice"), F.col("row")], F.col("n_tokens"), F.shiftright("dice", 64 - bits), "before")
     last = F.least("n_tokens", F.greatest(F.col("rest") - F.col("before"), F.lit(0))).cast("long")
     full = F.transform(F.sequence(F.lit(1).cast("long"), F.col("whole")), lambda e: F.struct((e - 1).alias("epoch"), F.col("n_tokens").alias("taken")))
     full = F.when(F.col("whole") > 0, full).otherwise(F.array().cast("array<struct<epoch:bigint,taken:bigint>>"))
     each = F.concat(full, F.array(F.struct(F.col("whole").alias("epoch"), last.alias("taken"))))
-    return (
-        placed.withColumn("each", F.explode(F.filter(each, lambda e: e["taken"] > 0)))
-        .select("key", "doc_id", *levels, "n_tokens", F.col("each.epoch").alias("epoch"), F.col("each.taken").alias("taken"))
-    )
+    return placed.withColumn("each", F.explode(F.filter(each, lambda e: e["taken"] > 0))).select(*rows.columns, F.col("each.epoch").alias("epoch"), F.col("each.taken").alias("taken"))
+
+
+def counted(docs: DataFrame, row: Column, tokens: Column | None, domains: Column | None) -> DataFrame:
+    """(row, dice, doc_id, levels, n_tokens) of the rows that have tokens, stored."""
+    text = text_or_empty("text")
+    words = F.regexp_count(text, F.lit(f"[^{WHITE}]+")) if tokens is None else tokens
+    of = domain(F.col("source")) if domains is None else domains
+    found = docs.select(row.alias("row"), F.xxhash64("doc_id", text).alias("dice"), "doc_id", of.alias("domain"), "lang", "source", words.cast("long").alias("n_tokens"))
+    return stored(found.where("n_tokens > 0"), "tokens")
+
+
+def select(
+    docs: DataFrame,
+    share: float = 1.0,
+    total: int | None = None,
+    max_epochs: int = 2,
+    weights: dict[str, dict[str, float]] | None = None,
+    seed: int = 11,
+    domains: Column | None = None,
+    tokens: Column | None = None,
+) -> DataFrame:
+    """(doc_id, domain, lang, source, n_tokens, epoch, taken): what each epoch of each leaf takes of a document.
+
+    Budgets sum to ``total`` tokens (or ``share`` of all), less what ``max_epochs`` passes cannot give. ``taken`` is
+    less than ``n_tokens`` only for the one document in which a leaf's budget ends. Tokens are words, unless ``tokens``
+    counts them otherwise; ``domains`` gives a document's domain. Null languages and sources are nodes of their own, null
+    doc_ids are documents like any other; documents without tokens are never taken; repeated rows are taken one by one,
+    and of equal ones it doesn't matter which. Texts of any length are counted whole; other columns are not used. An
+    empty table gives an empty one.
+    """
+    rows = counted(docs, F.monotonically_increasing_id(), tokens, domains)
+    return chosen(rows, share, total, max_epochs, weights, seed).drop("row", "dice")
 
 
 def mixed(docs: DataFrame, share: float, weights: dict[str, dict[str, float]], seed: int = 11) -> DataFrame:
-    """The chosen documents of one epoch with their own columns; the one in which a leaf's budget ends is cut there."""
-    names = docs.columns
-    chosen = select(docs, share=share, max_epochs=1, weights=weights, seed=seed).select("key", "n_tokens", "taken")
-    chosen = stored(chosen.groupBy("key").agg(F.sum("n_tokens").alias("__n"), F.sum("taken").alias("__taken"), F.count("*").alias("__rows")), "chosen")
-    rows = docs.join(small(chosen), F.xxhash64("doc_id", text_or_empty("text")) == F.col("key"))
+    """The chosen documents of one epoch with their own columns, whatever their names; of the one in which a leaf's budget
+    ends, the words that it may still give. Rows are numbered, so repeated ones are told apart; what is said of nulls and
+    empty texts at ``select`` holds here too."""
+    names, row = docs.columns, fresh(docs, "__row")
+    base = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    at, n, taken = (fresh(base, c) for c in ("__at", "__n", "__taken"))
+    rows = chosen(counted(base, F.col(row), None, None), share, None, 1, weights, seed)
+    rows = stored(rows.select(F.col("row").alias(at), F.col("n_tokens").alias(n), F.col("taken").alias(taken)), "chosen")
+    met = base.join(small(rows), F.col(row) == F.col(at))
     pieces = F.split("text", f"(?<=[^{WHITE}])(?=[{WHITE}])")
-    cut = F.when(F.col("__taken") < F.col("__n"), F.array_join(F.slice(pieces, 1, F.greatest((F.col("__taken") / F.col("__rows")).cast("int"), F.lit(1))), "")).otherwise(F.col("text"))
-    out = {"text": cut}
-    rows = rows.withColumns(out)
+    met = met.withColumn("text", F.when(F.col(taken) < F.col(n), F.array_join(F.slice(pieces, 1, F.col(taken).cast("int")), "")).otherwise(F.col("text")))
     if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*names)
+        met = met.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return met.select(*[F.col(f"`{c}`") for c in names])

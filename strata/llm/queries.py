@@ -47,7 +47,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.select(table(spark, sf_dir, "documents"), share=1.0, max_epochs=3, weights=mixing.WEIGHTS).drop("key")
+    return mixing.select(table(spark, sf_dir, "documents"), share=1.0, max_epochs=3, weights=mixing.WEIGHTS)
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,6 @@ def test_op1_ids_in_orc(spark, docs, clashing, empty, texts, tokenizer_path, tmp
 
     path = tokenizer_path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     binary_output.write_token_ids(clashing, str(tmp_path / "ids"), path)
     back = binary_output.read_token_ids(spark, str(tmp_path / "ids"))
     got, start = by_id(binary_output.digest(back)), 0

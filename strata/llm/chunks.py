@@ -57,7 +57,7 @@ def portions(text: str, size: int | None = None) -> Iterable[str]:
     yield text[at:]
 
 
-def groups(texts: list[str], rows: int = 256, size: int = 2_000_000) -> Iterable[tuple[int, int]]:
+def groups(texts: list[str], rows: int = 256, size: int = 500_000) -> Iterable[tuple[int, int]]:
     """Ranges of texts of bounded number and length (a longer text stands alone)."""
     at = total = 0
     for i, t in enumerate(texts):

@@ -21,18 +21,20 @@ from strata.llm.shingles import U, mix
 SAMPLE = 600
 LONGEST = 4
 #: Words remembered by a worker.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 UNKNOWN = "und"
 #: The pipeline rejects documents whose language has a smaller share of the evidence.
 LEAST = 0.4
 
-# Word characters are letters, digits and other numbers; only letters make words.
-OTHER_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{OTHER_NUMBERS}]+")
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters. The pattern also takes numbers that are no decimal digits, which then part words."""
+    words = WORD.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def grams(word: str, n: int) -> list[str]:

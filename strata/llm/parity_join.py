@@ -2,9 +2,9 @@
 
 A sketch has one cell for each of P parts of the hash space; a set's cell is the XOR of the hashes that fall into it.
 One element more or less changes one cell, so the number of cells that differ never exceeds the symmetric difference,
-and neither does the Hamming distance of the cells' parity bits. Sets that are similar enough differ by at most D
+and it turns one bit of a sketch of parity bits, so their Hamming distance doesn't either. Sets that are similar enough differ by at most D
 elements, D being known for a band of sizes; of P = D + 1 + S cells more than S are then equal, and equal cells make
-candidates. As more than S are equal, a set may leave out S cells of its band, if all sets agree on which go first: cells
+candidates, which go on if their sketches are near enough. As more than S are equal, a set may leave out S cells of its band, if all sets agree on which go first: cells
 without an element, then those that most sets share. Candidates are verified on the whole sets.
 """
 
@@ -94,11 +94,12 @@ def cells(shingles: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return part[starts], np.bitwise_xor.reduceat(shingles, starts)
 
 
-def parity_words(shingles: np.ndarray, parts: int) -> np.ndarray:
-    """The cells' parity bits, 64 a cell."""
-    part = (((shingles >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
-    out = np.zeros(parts, dtype=U)
-    np.bitwise_xor.at(out, part, U(1) << (shingles & U(63)))
+def parity_words(shingles: np.ndarray, band: Band) -> np.ndarray:
+    """The set's sketch of its band, a bit for every element that a set of the band has at most: each element turns one."""
+    width = -(-band.upper // 64)
+    at = ((mix(shingles + U(band.number)) >> U(32)) * U(64 * width)) >> U(32)
+    out = np.zeros(width, dtype=U)
+    np.bitwise_xor.at(out, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
     return out
 
 
@@ -142,26 +143,38 @@ class ParityJoin:
         text = text_or_empty("text")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("tid"), text.alias("text"))
 
-    def classes(self) -> tuple[DataFrame, DataFrame]:
-        """(doc, n, set) of every row, and (set, doc, tid) of the row that stands for a class: that of the smallest doc.
-        Rows without words or without a doc_id are in no class."""
-        k = self.k
+    def classes(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(doc, n, set) of every row; (set, doc, tid) of the row that stands for a class, that of the smallest doc; and
+        (set, band, n, words), the sketches of classes. Rows without words or without a doc_id are in no class."""
+        k, sim = self.k, self.sim
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, texts = batch.column(0), batch.column(2).to_pylist()
-                rows = [(len(s), *signature(s)) for a, b in groups(texts) for s in shingle_sets([t.encode() for t in texts[a:b]], k)]
-                cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-                yield pa.RecordBatch.from_arrays([ids, batch.column(1), *(pa.array(c, pa.int64()) for c in cols)], ["doc", "tid", "n", "a", "b"])
-
-        sizes = stored(self.docs.mapInArrow(sign, "doc long, tid long, n long, a long, b long"), "sizes")
+                texts = batch.column(2).to_pylist()
+                for a, b in groups(texts):
+                    sets = list(shingle_sets([t.encode() for t in texts[a:b]], k))
+                    bands = [bands_of(sim, len(s)) for s in sets]
+                    words = [parity_words(s, x) for s, own in zip(sets, bands, strict=True) for x in own]
+                    ends, inner = np.cumsum([0, *map(len, bands)]).astype(np.int32), np.cumsum([0, *map(len, words)]).astype(np.int32)
+                    flat = np.concatenate(words).view(np.int64) if words else np.zeros(0, np.int64)
+                    signed = [signature(s) for s in sets]
+                    cols = [
+                        *(pa.array([x[i] for x in signed], pa.int64()) for i in (0, 1)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array([x.number for own in bands for x in own], pa.int32())),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.ListArray.from_arrays(pa.array(inner), pa.array(flat))),
+                    ]
+                    yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array([len(s) for s in sets], pa.int64()), *cols], ["doc", "tid", "n", "a", "b", "bands", "words"])
+
+        sizes = stored(self.docs.mapInArrow(sign, "doc long, tid long, n long, a long, b long, bands array<int>, words array<array<long>>"), "sizes")
         known = sizes.where("n > 0 and doc is not null")
         reps = known.groupBy("n", "a", "b").agg(F.min(F.struct("doc", "tid")).alias("r")).select("n", "a", "b", "r.doc", "r.tid", F.monotonically_increasing_id().alias("set"))
         reps = stored(reps, "reps")  # so that a skewed join can be split
         rows = sizes.join(reps.select("n", "a", "b", "set"), ["n", "a", "b"], "left").select("doc", "n", F.when(F.col("doc").isNotNull(), F.col("set")).alias("set"))
         rows = stored(rows, "rows")
+        own = known.join(reps.select("set", F.col("doc").alias("__doc"), F.col("tid").alias("__tid")), (F.col("doc") == F.col("__doc")) & (F.col("tid") == F.col("__tid")))
+        sketches = stored(own.select("set", "n", F.explode(F.arrays_zip("bands", "words")).alias("x")).select("set", F.col("x.bands").alias("band"), "n", F.col("x.words").alias("words")), "sketches")
         free(sizes)
-        return rows, reps.select("set", F.col("doc").alias("__doc"), F.col("tid").alias("__tid"))
+        return rows, reps.select("set", F.col("doc").alias("__doc"), F.col("tid").alias("__tid")), sketches
 
     def texts(self, reps: DataFrame) -> DataFrame:
         """(set, text) of the rows that stand for classes (more than one of a class only if rows repeat)."""
@@ -209,32 +222,27 @@ class ParityJoin:
         chosen = reps.join(involved, "set", "left_semi")
         return self.texts(chosen).mapInArrow(build, "set long, n long, shingles array<long>")
 
-    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link, on their whole sets."""
-        hubs = sets.join(pairs.select(F.col("a").alias("set")).distinct(), "set", "left_semi")
-        one = hubs.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-        two = sets.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-        met = pairs.join(two, "b").join(one, "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-        return met.where(F.col("common") * self.sim.den >= (F.col("na") + F.col("nb") - F.col("common")) * self.sim.num).select("a", "b")
-
-    def sketches(self, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-        """(set, band, n, words): parity sketches of the bands in which a set is wanted."""
-        sim = self.sim
-
-        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [
-                    (i, b.number, n, parity_words(np.array(s, dtype=np.int64).view(U), b.parts).tobytes())
-                    for i, n, s, bands in zip(*[c.to_pylist() for c in batch.columns], strict=True)
-                    for b in bands_of(sim, n)
-                    if b.number in bands
-                ]
-                cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["set", "band", "n", "words"])
-
-        bands = wanted.groupBy("set").agg(F.collect_set("band").alias("bands"))  # two or three
-        return sets.join(bands, "set").select("set", "n", "shingles", "bands").mapInArrow(build, "set long, band int, n long, words binary")
+    def verified(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+        """The pairs (a, b), stored, that link, on their whole sets."""
+        involved = stored(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct(), "involved")
+        sets = stored(self.sets(involved, reps), "sets")
+        if sets.count() > involved.count():  # rows repeat
+            sets, old = stored(sets.dropDuplicates(["set"]), "sets"), sets
+            free(old)
+        free(involved)
+        one, two = (sets.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}")) for c in "ab")
+        hubs = one.join(pairs.select("a").distinct(), "a", "left_semi")
+        met = pairs.join(two, "b").join(hubs, "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+        links = stored(met.where(F.col("common") * self.sim.den >= (F.col("na") + F.col("nb") - F.col("common")) * self.sim.num).select("a", "b"), "verified")
+        free(sets)
+        return links
+
+    def near(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """The pairs (a, b, band, ...) whose sketches are no further apart than sets that link."""
+        one, two = (sketches.select(F.col("set").alias(c), "band", F.col("n").alias(f"n{c}"), F.col("words").alias(f"w{c}")) for c in "ab")
+        met = pairs.join(one, ["a", "band"]).join(two, ["b", "band"])
+        apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return met.where(apart <= F.expr(f"((na + nb) * {self.sim.den - self.sim.num}) div {self.sim.den + self.sim.num}")).select(*pairs.columns)
 
     def survivors(self, members: DataFrame, every: bool) -> DataFrame:
         """Pairs (a, b) of one bucket with different labels whose sketches are near enough. Large buckets are cut into
@@ -250,7 +258,7 @@ class ParityJoin:
 
         def compare(table: pa.Table) -> pa.Table:
             doc, label, n, blk = (table[c].to_numpy() for c in ("set", "label", "n", "blk"))
-            words = np.frombuffer(b"".join(table["words"].to_pylist()), dtype=U).reshape(len(doc), -1)
+            words = table["words"].combine_chunks().flatten().to_numpy().view(U).reshape(len(doc), -1)
             i, j = table["i"][0].as_py(), table["j"][0].as_py()
             left, right = (np.flatnonzero(blk == i), np.flatnonzero(blk == j))
             a_out, b_out = [], []
@@ -284,53 +292,49 @@ class ParityJoin:
         free(known, keys)
         return mixed
 
-    def links(self, reps: DataFrame) -> DataFrame:
+    def links(self, reps: DataFrame, sketches: DataFrame) -> DataFrame:
         """(a, b): links between classes that leave no link between two components."""
+        band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int").alias("band")
         members = self.members(self.texts(reps))
-        stars = members.select("set", "hub").unionByName(members.select("set", F.col("other").alias("hub"))).where("set <> hub")
-        pairs = stored(stars.groupBy(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).agg(F.count("*").alias("times")), "pairs")
+        stars = members.select("set", "hub", band).unionByName(members.select("set", F.col("other").alias("hub"), band)).where("set <> hub")
+        pairs = stars.groupBy(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).agg(F.count("*").alias("times"), F.min("band").alias("band"))
+        pairs = stored(pairs, "pairs")
         # Sets that neither hub stands for are left to be compared with each other, in cells that have two of them.
         inner = members.where("set <> hub and set <> other").select("key", "set").distinct()
         crowd = inner.groupBy("key").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo <> hi").select("key")
         inner = stored(inner.join(crowd, "key", "left_semi"), "inner")
         free(members)
-        involved = stored(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).unionByName(inner.select("set")).distinct(), "involved")
-        sets = stored(self.sets(involved, reps), "sets")
-        if sets.count() > involved.count():  # rows repeat
-            sets, old = stored(sets.dropDuplicates(["set"]), "sets"), sets
-            free(old)
-        free(involved)
+        close = stored(self.near(pairs, sketches), "close")
         # First the hub that a set shares most cells with; then what still lies between two components.
         most = Window.partitionBy("b").orderBy(F.desc("times"), "a")
-        best = stored(pairs.withColumn("rank", F.row_number().over(most)).where("rank = 1").select("a", "b"), "best")
-        edges = stored(self.verified(best, sets), "links")
+        best = stored(close.withColumn("rank", F.row_number().over(most)).where("rank = 1").select("a", "b"), "best")
+        edges = self.verified(best, reps)
         labels = connected_components(edges, "a", "b")
         one, two = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-        apart = pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        apart = close.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
         apart = stored(apart.join(best, ["a", "b"], "left_anti"), "apart")
-        free(labels, best)
-        more = stored(self.verified(apart, sets), "links")
+        free(labels, best, close)
+        more = self.verified(apart, reps)
         free(apart)
         edges, old = stored(edges.unionByName(more), "links"), (edges, more)
         free(*old)
         # The nearest partners may all have been tried: only the second, complete round tells that no link is left.
         for every in (False, True):
             mixed = self.mixed(inner, edges)
-            wanted = mixed.select("set", F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int").alias("band"))
-            sketches = stored(self.sketches(sets, wanted), "sketches")
-            with_words = mixed.withColumn("band", F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")).join(sketches, ["set", "band"])
-            found = stored(self.survivors(with_words, every).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "survivors")
-            free(mixed, sketches)
-            new = stored(self.verified(found, sets), "links")
+            found = self.survivors(mixed.withColumn("band", band).join(sketches, ["set", "band"]), every)
+            found = stored(found.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "survivors")
+            free(mixed)
+            new = self.verified(found, reps)
             edges, old = stored(edges.unionByName(new), "links"), (edges, found, new)
             free(*old)
-        free(inner, pairs, sets)
+        free(inner, pairs)
         return edges
 
     def components(self) -> DataFrame:
         """(doc, n, component) of every row; component is the smallest doc_id reachable by links."""
-        rows, reps = self.classes()
-        links = self.links(reps)
+        rows, reps, sketches = self.classes()
+        links = self.links(reps, sketches)
+        free(sketches)
         known = rows.where("set is not null")
         # Rows of one doc_id are one document: what one of them links with, all do.
         first = known.groupBy("doc").agg(F.min("set").alias("first"), F.max("set").alias("last")).where("first <> last").select(F.col("doc").alias("__doc"), "first")

@@ -14,7 +14,7 @@ _white[[9, 10, 11, 12, 13, 32]] = True
 _base = U(0x9E3779B97F4A7C15)
 _inverse = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes hashed at once (a longer word at once all the same).
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 _powers = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
 

@@ -26,7 +26,7 @@ LENGTH = 200
 K = 48
 WIDTH = LENGTH - K + 1
 #: Bytes handled at once; a longer text is cut into pieces that overlap by LENGTH - 1.
-PIECE = 1 << 21
+PIECE = 1 << 19
 INDEX_BITS = 22
 LEAD = 16
 #: An anchor with more different suffixes than this is split: every string around it becomes a suffix of its own.

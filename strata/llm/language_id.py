@@ -81,8 +81,8 @@ class Model:
         self.forget()
 
     def forget(self) -> None:
-        """Start again with the known words only."""
-        self.at, self.rows = dict(self.words), self.logs
+        """Start again: no word has been met."""
+        self.at, self.rows = {}, np.zeros((0, len(self.langs)))
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """For every word the mean of the log frequencies of its longest n-grams that are known; none: nothing."""
@@ -108,12 +108,16 @@ class Model:
         return out
 
     def learn(self, words: set[str]) -> None:
-        """Remember the evidence of words not met before."""
-        if len(self.at) + len(words) > REMEMBERED + len(self.words):
+        """Remember the log frequencies of words not met before, or their evidence if the model doesn't know them."""
+        if len(self.at) + len(words) > REMEMBERED:
             self.forget()
         if new := list(words.difference(self.at)):
+            known = np.array([self.words.get(w, -1) for w in new])
+            rows = self.logs[known] if len(self.logs) else np.zeros((len(new), len(self.langs)))
+            if (known < 0).any():
+                rows[known < 0] = self.evidence([w for w, i in zip(new, known.tolist(), strict=True) if i < 0])
             self.at.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, self.evidence(new)])
+            self.rows = np.concatenate([self.rows, rows])
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if len(texts) > 1 and any(t and len(t) > PORTION for t in texts):
@@ -201,6 +205,7 @@ def identify(docs: DataFrame, model: Model | None = None, names: tuple[str, str]
             texts = batch.column(at).to_pylist()
             out = [x for a, b in groups(texts_or_empty(texts)) for x in own.predict(texts[a:b])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=[*held, *names])
+        own.forget()  # the worker may live on
 
     own = [F.col(f"`{c}`") for c in held]
     schema = docs.select(*own).withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema

@@ -180,8 +180,9 @@ class ParityJoin:
         """(set, text) of the rows that stand for classes (more than one of a class only if rows repeat)."""
         return self.docs.join(small(reps), (F.col("doc") == F.col("__doc")) & (F.col("tid") == F.col("__tid"))).select("set", "text")
 
-    def cells(self, texts: DataFrame) -> DataFrame:
-        """(key, set, more) of every cell of every set."""
+    def cells(self, texts: DataFrame, counted: bool) -> DataFrame:
+        """(key, set, more) of every cell of every set; or counted, (key, hub, other, m): the smallest and largest set and
+        the number of them, for the sets of a batch, so that a crowded cell is sent as few rows."""
         k, sim = self.k, self.sim
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,19 +190,26 @@ class ParityJoin:
                 ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
                 for a, b in groups(texts):
                     found = [emitted(s, sim) for s in shingle_sets([t.encode() for t in texts[a:b]], k)]
-                    keys = np.concatenate([x for x, _ in found])
+                    keys = np.concatenate([x for x, _ in found]).view(np.int64)
                     own = np.repeat(ids[a:b], [len(x) for x, _ in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own), pa.array(np.concatenate([m for _, m in found]))], ["key", "set", "more"])
+                    if not counted:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own), pa.array(np.concatenate([m for _, m in found]))], ["key", "set", "more"])
+                    elif len(keys):
+                        order = np.argsort(keys, kind="stable")
+                        keys, own = keys[order], own[order]
+                        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                        cols = [keys[first], np.minimum.reduceat(own, first), np.maximum.reduceat(own, first), np.diff(np.append(first, len(keys)))]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "hub", "other", "m"])
 
-        return texts.mapInArrow(emit, "key long, set long, more int")
+        return texts.mapInArrow(emit, "key long, hub long, other long, m long" if counted else "key long, set long, more int")
 
     def members(self, texts: DataFrame) -> DataFrame:
         """(key, set, hub, other) of the cells that at least two sets share: two hubs of each cell and all its sets,
         except where a set leaves a crowded cell out."""
-        rows = self.cells(texts)
-        shared = rows.groupBy("key").agg(F.min("set").alias("hub"), F.max("set").alias("other"), F.count("*").alias("m")).where("hub <> other")
-        shared = stored(shared, "shared")  # aggregated before the shuffle, and joined, so that a crowded cell can be split
-        met = stored(rows.join(shared, "key"), "met")
+        # Most cells are alone, so a hash table of them would be large: a minimum of structs is aggregated in sorted order.
+        counts = self.cells(texts, True).repartition("key").groupBy("key").agg(F.min(F.struct("hub", "other")).alias("low"), F.max("other").alias("other"), F.sum("m").alias("m"))
+        shared = stored(counts.select("key", "low.hub", "other", "m").where("hub <> other"), "shared")
+        met = stored(self.cells(texts, False).join(shared, "key"), "met")  # a join, so that a crowded cell can be split
         free(shared)
         order = Window.partitionBy("set", F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1))).orderBy(F.desc("m"), "key")
         crowded = met.where(f"m > {CROWDED}").withColumn("rank", F.row_number().over(order)).where("rank > more").drop("rank")

@@ -27,6 +27,8 @@ from strata.llm.shingles import U, mix, shingle_sets
 BAND_BITS = 8
 #: Rows of one side when the members of a large bucket are compared in blocks.
 BLOCK = 2048
+#: Bits of a sketch for an element. With few, sets look nearer than they are, and more pairs are verified in vain.
+WIDTH = 4
 #: Cells that more sets share may be left out (as far as S allows); it costs a shuffle, so smaller ones are not.
 CROWDED = 16
 
@@ -95,8 +97,9 @@ def cells(shingles: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parity_words(shingles: np.ndarray, band: Band) -> np.ndarray:
-    """The set's sketch of its band, a bit for every element that a set of the band has at most: each element turns one."""
-    width = -(-band.upper // 64)
+    """The set's sketch of its band, WIDTH bits for every element that a set of the band has at most: each element turns
+    one."""
+    width = -(-band.upper * WIDTH // 64)
     at = ((mix(shingles + U(band.number)) >> U(32)) * U(64 * width)) >> U(32)
     out = np.zeros(width, dtype=U)
     np.bitwise_xor.at(out, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))

@@ -14,6 +14,7 @@ from strata import grid
 from strata.functions import scalar
 from strata.operators import aggregate as A
 from strata.operators import geometry, labels, plugins, point, predicate, region, window
+from strata.plans import round_trips
 from strata.streaming import tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,7 +75,7 @@ def marks(spark: SparkSession, sf: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 7).cast("int").alias("z"), (F.col("o_custkey") % 64).cast("int").alias("x"), (F.col("o_orderkey") * 7 % 64).cast("int").alias("y"), F.col("o_custkey").alias("mark"), F.col("o_orderpriority").alias("name"))
 
 
-MARKS = """marks AS (SELECT o_orderkey AS seq, CAST(o_orderkey % 7 AS INT) AS z, CAST(o_custkey % 64 AS INT) AS x, CAST(o_orderkey * 7 % 64 AS INT) AS y, o_custkey AS mark, o_orderpriority AS name FROM orders WHERE o_orderkey <= 4000)"""
+MARKS = """marks AS (SELECT o_orderkey AS seq, CAST(o_orderkey % 7 AS INT) AS z, CAST(o_custkey % 64 AS INT) AS x, CAST(o_orderkey * 7 % 64 AS INT) AS y, o_custkey AS mark, o_orderpriority AS name FROM orders)"""
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,11 +150,11 @@ def build() -> None:
     on_image("proj25_flip", lambda v: point.transform_slices(v, point.flip("x", 64)), moved + "b.x = 63 - a.x AND b.y = a.y")
     on_image("proj25_scale", lambda v: point.transform_slices(v, point.scaling(2, 2)), moved + "b.x = floor(a.x * 0.5::DOUBLE + 0.5::DOUBLE) AND b.y = floor(a.y * 0.5::DOUBLE + 0.5::DOUBLE)")
     on_image("proj26_reorient", lambda v: point.reorient(v, "RAS", "PSL", {"x": 64, "y": 50, "z": 10}), "SELECT 63 - x AS z, z AS y, 49 - y AS x, src, tgt, tis FROM vox")
-    on_image("proj27_to_world", lambda v: point.to_world(v, [0, -1, 0, 5, 1, 0, 0, 6, 0, 0, 2, 7, 0, 0, 0, 1]).select("z", "y", "x", "wx", "wy", "wz"), "SELECT z, y, x, x * 0.0::DOUBLE + y * -1.0::DOUBLE + z * 0.0::DOUBLE + 5 AS wx, x * 1.0::DOUBLE + 6 AS wy, z * 2.0::DOUBLE + 7 AS wz FROM vox WHERE x < 8")
+    on_image("proj27_to_world", lambda v: point.to_world(v, [0, -1, 0, 5, 1, 0, 0, 6, 0, 0, 2, 7, 0, 0, 0, 1]).select("z", "y", "x", "wx", "wy", "wz"), "SELECT z, y, x, x * 0.0::DOUBLE + y * -1.0::DOUBLE + z * 0.0::DOUBLE + 5 AS wx, x * 1.0::DOUBLE + 6 AS wy, z * 2.0::DOUBLE + 7 AS wz FROM vox")
     with_column("proj28_brush", lambda v: point.brush(v, "tis", 20, 25, 6, 8, z=1, dy=0.5, locked=[3]), "tis", "CASE WHEN z = 1 AND tis <> 3 AND (x - 20) * (x - 20) + 0.25 * (y - 25) * (y - 25) <= 36 THEN 8 ELSE tis END")
     add("proj29_line_points", lambda s, d: point.line_points(marks(s, d).where("z = 0").select(F.col("seq").alias("id"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))), "SELECT seq AS id, CAST(k AS INT) AS k, CAST(CASE WHEN n = 0 THEN 0 ELSE (2 * k * x + n) // (2 * n) END AS INT) AS x, CAST(CASE WHEN n = 0 THEN 0 ELSE (2 * k * y + n) // (2 * n) END AS INT) AS y FROM (SELECT seq, x, y, n, unnest(range(0, n + 1)) AS k FROM (SELECT seq, x, y, greatest(x, y) AS n FROM marks WHERE z = 0))", MARKS)
     on_image("proj30_color_lookup", lambda v: point.color_lookup(v, v.sparkSession.range(6).select(F.col("id").cast("int").alias("id"), (F.col("id") * 10).alias("r"), (F.col("id") * 20).alias("g"), (F.col("id") * 30).alias("b"))).select("z", "y", "x", "r", "g", "b"), "SELECT z, y, x, CASE WHEN tis < 6 THEN tis * 10::BIGINT END AS r, CASE WHEN tis < 6 THEN tis * 20::BIGINT END AS g, CASE WHEN tis < 6 THEN tis * 30::BIGINT END AS b FROM vox")
-    on_image("proj31_hsl_round_trip", lambda v: point.from_hsl(point.to_hsl(v.where("z = 0").select("y", "x", (F.pmod("src", F.lit(256.0)) / 255).alias("r"), (F.col("tgt") / 255).alias("g"), (F.col("tis") / 10).alias("b")))).select("y", "x", *[F.round(F.col(c) * 1000).cast("int").alias(c) for c in "rgb"]), "SELECT y, x, CAST(round(((src % 256 + 256) % 256) / 255 * 1000) AS INT) AS r, CAST(round(tgt / 255 * 1000) AS INT) AS g, CAST(round(tis / 10 * 1000) AS INT) AS b FROM vox WHERE z = 0")
+    on_image("proj31_hsl_round_trip", lambda v: point.from_hsl(point.to_hsl(v.select("z", "y", "x", (F.pmod("src", F.lit(256.0)) / 255).alias("r"), (F.col("tgt") / 255).alias("g"), (F.col("tis") / 10).alias("b")))).select("z", "y", "x", *[F.round(F.col(c) * 1000).cast("int").alias(c) for c in "rgb"]), "SELECT z, y, x, CAST(round(((src % 256 + 256) % 256) / 255 * 1000) AS INT) AS r, CAST(round(tgt / 255 * 1000) AS INT) AS g, CAST(round(tis / 10 * 1000) AS INT) AS b FROM vox")
     with_column("proj32_erase", lambda v: point.erase(v, F.col("x") > 30, "tis", [2]), "tis", "CASE WHEN x > 30 AND tis <> 2 THEN 0 ELSE tis END")
     on_image("proj33_shift", lambda v: point.shift(v, 4, 5, 50, 64), "SELECT a.z, a.y, a.x, a.src, a.tgt, coalesce(b.tis, 0) AS tis FROM vox a LEFT JOIN vox b ON b.z = a.z AND b.x = a.x - 4 AND b.y = a.y - 5")
     on_image("scan03_grey_weights", lambda v: point.grey_weights(v.select("z", "y", "x", F.col("src").alias("r"), F.col("tgt").alias("g"), F.col("tis").alias("b")), 0.25, 0.5, 0.25).select("z", "y", "x", "grey"), "SELECT z, y, x, src * 0.25::DOUBLE + tgt * 0.5::DOUBLE + tis * 0.25::DOUBLE AS grey FROM vox")
@@ -195,7 +196,7 @@ def build() -> None:
     objects = "SELECT z, seq AS id, x AS cx, y AS cy, mark % 9 AS size FROM marks"
     add("join13_match_objects", lambda s, d: labels.match_objects(marks(s, d).select("z", F.col("seq").alias("id"), F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"), (F.col("mark") % 9).alias("size")), 3.0).select("z", "id", "next_id", F.round("score", 6).alias("score")), f"SELECT z, id, next_id, round(score, 6) AS score FROM (SELECT a.z, a.id, b.id AS next_id, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) + abs(a.size - b.size) AS score, row_number() OVER (PARTITION BY a.z, a.id ORDER BY sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) + abs(a.size - b.size), b.id) AS rn FROM ({objects}) a JOIN ({objects}) b ON b.z = a.z + 1 AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 9) WHERE rn = 1", MARKS)
     near = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
-    add("join14_mutual_nearest", lambda s, d: labels.mutual_nearest(*[marks(s, d).where(f"z = {z}").select(F.col("seq").alias("id"), F.col("x").alias("cx"), F.col("y").alias("cy")) for z in (0, 1)]), f"SELECT a, b FROM (SELECT a.seq AS a, b.seq AS b, row_number() OVER (PARTITION BY a.seq ORDER BY {near}, b.seq) AS ra, row_number() OVER (PARTITION BY b.seq ORDER BY {near}, a.seq) AS rb FROM marks a, marks b WHERE a.z = 0 AND b.z = 1 AND a.seq < 500 AND b.seq < 500) WHERE ra = 1 AND rb = 1", MARKS)
+    add("join14_mutual_nearest", lambda s, d: labels.mutual_nearest(*[marks(s, d).where(f"z = {z}").select(F.col("seq").alias("id"), F.col("x").alias("cx"), F.col("y").alias("cy")) for z in (0, 1)]), f"SELECT a, b FROM (SELECT a.seq AS a, b.seq AS b, row_number() OVER (PARTITION BY a.seq ORDER BY {near}, b.seq) AS ra, row_number() OVER (PARTITION BY b.seq ORDER BY {near}, a.seq) AS rb FROM marks a, marks b WHERE a.z = 0 AND b.z = 1) WHERE ra = 1 AND rb = 1", MARKS)
     touch = " UNION ALL ".join(f"SELECT least(a.tis, b.tis) AS a, greatest(a.tis, b.tis) AS b FROM lay a JOIN lay b ON " + " AND ".join(f"b.{c} = a.{c}{' + 1' if c == axis else ''}" for c in "zyx") + " WHERE a.tis > 0 AND b.tis > 0 AND a.tis <> b.tis" for axis in "xyz")
     add("join15_touching", lambda s, d: labels.touching(layers(s, d)), f"SELECT a, b, count(*) AS n FROM ({touch}) GROUP BY a, b", LAYERS)
     names = [(1, "Bone_cortical"), (2, "Bone_cancellous"), (3, "Fat"), (4, "Tooth"), (5, "Marrow_x"), (6, "Muscle"), (7, "Jaw bone")]
@@ -244,7 +245,7 @@ def build() -> None:
     sq = lambda p: " + ".join(f"{q} * {q}" for q in p)
     add("agg14_angles", lambda s, d: A.angles(three(s, d), 1, 1, 1).select("seq", F.round("angle", 4).alias("angle")), f"SELECT seq, round(CASE WHEN a * b = 0 THEN 0.0 ELSE degrees(acos(least(greatest(c / (sqrt(a) * sqrt(b)), -1.0), 1.0))) END, 4) AS angle FROM (SELECT seq, CAST({sq(u)} AS DOUBLE) AS a, CAST({sq(v)} AS DOUBLE) AS b, CAST({' + '.join(f'{p} * {q}' for p, q in zip(u, v, strict=True))} AS DOUBLE) AS c FROM ({ends}))", MARKS)
     add("agg15_object_features", lambda s, d: A.object_features(region.components(layers(s, d), masked=True).withColumn("comp", F.when(F.col("comp") >= 0, F.col("comp")))).groupBy("z").agg(F.count("*").alias("objects"), F.sum("size").alias("voxels"), F.sum("perimeter").alias("perimeter")))
-    add("agg16_softmax", lambda s, d: A.softmax(marks(s, d).select("z", "seq", (F.col("mark") % 13).cast("double").alias("score")), ["z"], "score").select("seq", F.round("p", 8).alias("p")), "SELECT seq, round(CASE WHEN count(*) OVER (PARTITION BY z) = 1 THEN exp(-(mark % 13)) ELSE exp(-(mark % 13)) / sum(exp(-(mark % 13))) OVER (PARTITION BY z) END, 8) AS p FROM marks WHERE seq < 1000", MARKS)
+    add("agg16_softmax", lambda s, d: A.softmax(marks(s, d).select("z", "seq", (F.col("mark") % 13).cast("double").alias("score")), ["z"], "score").select("seq", F.round("p", 8).alias("p")), "SELECT seq, round(CASE WHEN count(*) OVER (PARTITION BY z) = 1 THEN exp(-(mark % 13)) ELSE exp(-(mark % 13)) / sum(exp(-(mark % 13))) OVER (PARTITION BY z) END, 8) AS p FROM marks", MARKS)
     centers = [[60.0, 200.0], [130.0, 100.0], [200.0, 20.0]]
     dist = [f"((src - {a}) * (src - {a}) * 0.5 + (tgt - {b}) * (tgt - {b}) * 0.5)" for a, b in centers]
     best = f"CASE WHEN {dist[0]} <= {dist[1]} AND {dist[0]} <= {dist[2]} THEN 0 WHEN {dist[1]} <= {dist[2]} THEN 1 ELSE 2 END"
@@ -354,7 +355,7 @@ def build() -> None:
         on_image(name, f, None)
     add("graph28_skeleton_graph", lambda s, d: region.skeleton_graph(li(s, d).withColumn("tgt", F.when(F.col("src") > 120, 1.0).otherwise(0.0))))
     edges = lambda s, d: marks(s, d).select((F.col("seq") % 200).alias("src"), (F.col("mark") % 200).alias("dst")).where("src <> dst")
-    add("graph29_edge_components", lambda s, d: region.edge_components(edges(s, d)), "SELECT node, min(r) AS label FROM reached GROUP BY node", f"RECURSIVE {MARKS}", "e AS (SELECT seq % 200 AS a, mark % 200 AS b FROM marks WHERE seq < 300 AND seq % 200 <> mark % 200), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reached(node, r) AS (SELECT a, a FROM both_ UNION SELECT e.b, r.r FROM reached r JOIN both_ e ON e.a = r.node)")
+    add("graph29_edge_components", lambda s, d: region.edge_components(edges(s, d)), "SELECT node, min(r) AS label FROM reached GROUP BY node", f"RECURSIVE {MARKS}", "e AS (SELECT seq % 200 AS a, mark % 200 AS b FROM marks WHERE seq % 200 <> mark % 200), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reached(node, r) AS (SELECT a, a FROM both_ UNION SELECT e.b, r.r FROM reached r JOIN both_ e ON e.a = r.node)")
     add("graph29_polylines", lambda s, d: region.polylines(edges(s, d)))
     add("graph30_grid_edges", lambda s, d: region.grid_edges(li(s, d)).groupBy("dz", "dy", "dx").agg(F.count("*").alias("n")), "SELECT dz, dy, dx, CAST(n AS BIGINT) AS n FROM (VALUES (1, 0, 0, 6 * 4096), (0, 1, 0, 7 * 63 * 64), (0, 0, 1, 7 * 63 * 64)) t(dz, dy, dx, n)")
     add("graph31_path", lambda s, d: region.path(li(s, d), (1, 5, 5), (3, 12, 14), length=5.0))
@@ -397,6 +398,8 @@ def build() -> None:
 def queries() -> dict[str, Query]:
     if not _queries:
         build()
+        for name, (query, sql) in round_trips.build(layers, tissues).items():
+            add(name, query, sql, LAYERS, TISSUES)
     return dict(_queries)
 
 

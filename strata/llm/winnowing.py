@@ -17,9 +17,8 @@ from strata.llm.common import blocks_of, text_or_empty
 
 K = 5
 W = 8
-#: A chosen entry is hash * 2^24 + (2^24 - 1 - position): the smaller hash wins, then the larger position.
-POS = 24
-HASH = (1 << (63 - POS)) - 1
+#: Ranges of doc_id into which the table is cut by quantiles, before each is cut further by equal widths.
+RANGES = 256
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -28,8 +27,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def entries(text: Column, k: int = K, w: int = W) -> Column:
-    """array<bigint> of chosen entries in order of position. A text of fewer than k words has one run, all its words; a
-    text without words has none. Positions count words from 0, modulo 2^24."""
+    """array<struct<h, back>> of chosen entries in order of position: the run's hash, and its position, counted in words
+    from 0, times -1, so that the smaller hash wins and then the larger position. A text of fewer than k words has one
+    run, all its words; a text without words has none."""
     blank = F.lower(text)
     for c in "\t\n\x0b\x0c\r":
         blank = F.replace(blank, F.lit(c), F.lit(" "))
@@ -49,27 +49,26 @@ def entries(text: Column, k: int = K, w: int = W) -> Column:
     def whole(a: Column, run: int) -> Column:
         return F.slice(a, 1, F.greatest(F.size(a) - (run - 1), F.lit(1)))
 
-    low = (1 << POS) - 1
+    def placed(runs: Column) -> Column:
+        return F.transform(whole(runs, k), lambda x, i: F.struct(x.alias("h"), (-i).alias("back")))
 
-    def packed(runs: Column) -> Column:
-        return F.transform(whole(runs, k), lambda x, i: F.shiftleft(x.bitwiseAND(F.lit(HASH)), POS).bitwiseOR((F.lit(low) - i).bitwiseAND(F.lit(low))))
+    def changes(chosen: Column) -> Column:
+        """One entry for windows, always neighbours, that choose the same."""
+        return F.filter(chosen, lambda x, i: (i == 0) | (x["back"] != F.get(chosen, i - 1)["back"]))
 
     return let(
         F.transform(words, lambda x: F.xxhash64(x)),
-        lambda h: grow(h, 1, k, lambda x, y: F.xxhash64(x, y), lambda runs: let(packed(runs), lambda p: grow(p, 1, w, lambda x, y: F.least(x, y), lambda m: F.array_distinct(whole(m, w))))),
+        lambda h: grow(h, 1, k, lambda x, y: F.xxhash64(x, y), lambda runs: let(placed(runs), lambda p: grow(p, 1, w, lambda x, y: F.least(x, y), lambda m: let(whole(m, w), changes)))),
     )
 
 
 def as_string(entry: Column) -> Column:
     """``hash@position`` of every entry, separated by blanks."""
-    low = F.lit((1 << POS) - 1)
-    return F.array_join(
-        F.transform(entry, lambda x: F.concat(F.shiftright(x, POS).cast("string"), F.lit("@"), (low - x.bitwiseAND(low)).cast("string"))), " "
-    )
+    return F.array_join(F.transform(entry, lambda x: F.concat(x["h"].cast("string"), F.lit("@"), (-x["back"]).cast("string"))), " ")
 
 
 def hashes(entry: Column) -> Column:
-    return F.array_distinct(F.transform(entry, lambda x: F.shiftright(x, POS)))
+    return F.array_distinct(F.transform(entry, lambda x: x["h"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -82,13 +81,19 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, rows: int = 2048) -> tuple[DataFrame, Window]:
     """(doc_id, text, __guest, __block) so that the next row of the window is the next document in descending doc_id.
 
-    Documents are dealt into blocks of doc_id ranges, at most 65,536 of them. The first document of each block also
-    stands, as a guest, at the end of the block before it; that of the first block at the end of the last.
+    Documents are dealt into blocks of doc_id: ranges between quantiles, each cut into equal widths, about ``rows`` rows a
+    block wherever ids lie close or far. The first document of each block also stands, as a guest, at the end of the block
+    before it; that of the first block at the end of the last.
     """
-    ids = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    n, lo, hi = ids["n"], ids["lo"] or 0, ids["hi"] or 0
-    width = max(1, -(-(hi - lo + 1) // blocks_of(n, rows)))
-    block = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("doc_id").cast("decimal(20,0)") - lo) / width)).cast("long")
+    ids = docs.agg(F.count("*").alias("n"), F.max("doc_id").alias("hi"), F.percentile_approx("doc_id", [i / RANGES for i in range(RANGES)], 10_000).alias("cuts")).first()
+    cuts = sorted({int(c) for c in ids["cuts"] or [0]})
+    ends = [*cuts[1:], (ids["hi"] or 0) + 1]
+    each = max(1, -(-blocks_of(ids["n"], rows) // RANGES))
+    at = F.array_max(F.filter(F.transform(F.array(*map(F.lit, cuts)), lambda c, i: F.when(c <= F.col("doc_id"), i)), lambda i: i.isNotNull()))
+    at = F.coalesce(at, F.lit(0))  # quantiles are nearly exact: an id may lie below the first
+    low, width = (F.element_at(F.array(*map(F.lit, x)), at + 1).cast("decimal(20,0)") for x in (cuts, [max(1, -(-(e - c) // each)) for c, e in zip(cuts, ends, strict=True)]))
+    inner = F.greatest(F.lit(0), F.least(F.lit(each - 1), F.floor((F.col("doc_id").cast("decimal(20,0)") - low) / width)))
+    block = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at * each + inner).cast("long")
     base = docs.select("doc_id", text_or_empty("text").alias("text"), block.alias("__block"))
     order = Window.orderBy(F.desc("__block"))
     firsts = docs.select("doc_id", block.alias("__block")).groupBy("__block").agg(F.max("doc_id").alias("__first"))  # one row a block
@@ -123,7 +128,7 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
         .withColumn("__c", F.lead("__a").over(order))
         .where("__guest = 0")
     )
-    a, b, c = hashes(F.col("__a")), hashes(F.col("__b")), hashes(F.coalesce("__c", F.array().cast("array<bigint>")))
+    a, b, c = hashes(F.col("__a")), hashes(F.col("__b")), hashes(F.coalesce("__c", F.array().cast("array<struct<h:bigint,back:int>>")))
     return both.select(
         "doc_id",
         "n_chars",

@@ -307,7 +307,7 @@ def test_op9_chooses_rightmost_minimum(spark):
     texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (1, 4, 5, 6, 12, 13, 40, 200)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     runs = [(i, j, " ".join(t.split()[j : j + 5])) for i, t in enumerate(texts) for j in range(max(1, len(t.split()) - 4))]
-    one = spark.createDataFrame(runs, "i int, j int, r string").select("i", "j", F.shiftright(winnowing.entries(F.col("r"))[0], winnowing.POS).alias("h"))
+    one = spark.createDataFrame(runs, "i int, j int, r string").select("i", "j", winnowing.entries(F.col("r"))[0]["h"].alias("h"))
     h = collections.defaultdict(dict)
     for r in one.collect():
         h[r["i"]][r["j"]] = r["h"]

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strata.llm import binary_output, language_id, lm_score, mixing, parity_join, sentencepiece_codec, sharding, suffix_dedup, winnowing
+from strata.llm import binary_output, hashing_index, language_id, lm_score, mixing, parity_join, sentencepiece_codec, sharding, suffix_dedup, winnowing
 from strata.llm.common import prepare
 from tests_llm_data import DOCS, odd_documents, words
 
@@ -310,3 +310,60 @@ def test_stages_keep_clashing_columns(spark, clashing, tmp_path):
         assert done.columns == rows.columns and done.where("key <> 'k' or __spans <> 1 or score <> 'clash'").count() == 0
         rows = done
     assert corpus_pipeline.STAGES[-1][1](spark, rows, "").count() == rows.count()
+
+
+def test_op9_edited_fingerprints_and_far_ids(spark):
+    """near_edited and edited_fingerprint from the edited text itself, with ids far apart."""
+    rng = random.Random(12)
+    rows = [(i, words(rng, rng.randint(0, 40))) for i in [*range(60), -(2**62), 2**62, 10**12]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted(rows, reverse=True)
+    edited = []
+    for (d, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        m = len(t) // 3
+        edited.append((d, t[: len(t) - m] + nxt[:m]))
+    own = {r["d"]: r["f"] for r in spark.createDataFrame(edited, "d long, t string").select("d", winnowing.as_string(winnowing.entries(F.col("t"))).alias("f")).collect()}
+    placed, _ = winnowing.with_next(df, rows=4)
+    assert placed.select("__block").distinct().count() > 10
+    for r in winnowing.fingerprints(df).collect():
+        assert r["edited_fingerprint"] == own[r["doc_id"]]
+        a, b = ({x.split("@")[0] for x in r[c].split()} for c in ("fingerprint", "edited_fingerprint"))
+        assert r["near_edited"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+
+
+def test_op8_radius_is_complete_and_a_share():
+    """Probing finds exactly the codes within the radius; the share keeps recall as the table grows."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((30_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rotations = hashing_index.learn_rotations(x[:2048], hashing_index.ROTATIONS, rounds=4)
+    code = hashing_index.codes(x, rotations)
+    words = np.ascontiguousarray(code).view(np.uint64)
+    recall = {}
+    for n in (3000, 30_000):
+        index = hashing_index.Index(code[:n])
+        some = range(0, n, n // 25)
+        apart = {q: np.bitwise_count(words[:n] ^ words[q]).sum(axis=1) for q in some}
+        radius = int(np.ceil(np.quantile(np.concatenate(list(apart.values())), max(hashing_index.SHARE, hashing_index.CANDIDATES / n))))
+        hit = 0
+        for q in some:
+            rows = index.within(code[q], radius)
+            assert np.array_equal(rows, np.flatnonzero(apart[q] <= radius))
+            score = x[:n] @ x[q]
+            score[q] = -9
+            hit += len(np.intersect1d(rows, np.argsort(-score)[:20]))
+        recall[n] = hit / 20 / len(some)
+    assert min(recall.values()) >= 0.9
+
+
+def test_op8_other_lengths_and_short_queries(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(8 if i % 3 else 5).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in hashing_index.nearest(df, share=0.001, least=1).orderBy("query_id", "rank").collect():  # hardly any code is near
+        got[r["query_id"]].append(r["vec_id"])
+    assert sorted(got) == [i for i in range(400) if i % 20 == 0] and all(len(v) == 20 for v in got.values())
+    for q, found in got.items():
+        same = [(float(np.dot(v, rows[q][1])), -i) for i, v in rows if len(v) == len(rows[q][1]) and i != q]
+        assert found == [-i for _, i in sorted(same, reverse=True)[:20]]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strata.llm.chunks import PORTION, groups, plain, portions
-from strata.llm.common import shared_dir, small, text_or_empty
+from strata.llm.common import shared_dir, small, stored, text_or_empty
 from strata.llm.shingles import U, run_hashes
 
 SCHEMA = "doc_id long, part int, before long, ids array<int>"
@@ -219,8 +219,8 @@ def digest(tokens: DataFrame) -> DataFrame:
 
     rows = tokens.mapInArrow(sums, "doc_id long, part int, before long, n_tokens long, ids_crc32 long")
     order = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy(F.col("part").alias("__part")).agg(F.max(F.col("before") + F.col("n_tokens")).alias("__n"))  # one row for each written range
-    offsets = parts.select("__part", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__offset"))
+    parts = tokens.groupBy(F.col("part").alias("__part")).agg(F.max(F.col("before") + F.size("ids")).alias("__n"))  # one row for each written range
+    offsets = stored(parts.select("__part", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__offset")), "offsets")
     return rows.join(small(offsets), rows["part"] == F.col("__part")).select("doc_id", (F.col("__offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -94,7 +94,7 @@ def parse(path: str) -> Spec:
 
 
 def rebuilt(spec: Spec):
-    """(tokenizer of whole texts, tokenizer of what is normalised already, tokenizer that decodes)."""
+    """(tokenizer of whole texts, tokenizer of what is normalised already, two that decode: ids with and without bytes)."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     vocab = {p: i for i, (p, _, _) in enumerate(spec.pieces)}
@@ -116,11 +116,15 @@ def rebuilt(spec: Spec):
     if spec.dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
     steps.append(normalizers.Replace(" ", MARK))
-    surfaces = {spec.unknown_surface if i == spec.unknown else p: i for i, (p, _, _) in enumerate(spec.pieces)}
-    whole, inner, back = Tokenizer(model), Tokenizer(model), Tokenizer(models.WordLevel(surfaces, unk_token=spec.unknown_surface))
+    surfaces = {spec.unknown_surface if i == spec.unknown else p.replace(MARK, " "): i for i, (p, _, _) in enumerate(spec.pieces)}
+    if len(surfaces) < len(spec.pieces):
+        raise ValueError("two pieces have the same surface")
+    whole, inner, back, plain_back = Tokenizer(model), Tokenizer(model), *[Tokenizer(models.WordLevel(surfaces, unk_token=spec.unknown_surface)) for _ in range(2)]
     whole.normalizer = normalizers.Sequence(steps)
-    whole.decoder = back.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec.dummy_prefix else [])])
-    return whole, inner, back
+    end = [decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec.dummy_prefix else [])]
+    whole.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), *end])
+    back.decoder, plain_back.decoder = decoders.Sequence([decoders.ByteFallback(), *end]), decoders.Sequence(end)
+    return whole, inner, back, plain_back
 
 
 class Codec:
@@ -130,12 +134,13 @@ class Codec:
         import sentencepiece
 
         self.spec = parse(path)
-        self.tokenizer, self.inner, self.back = rebuilt(self.spec)
+        self.tokenizer, self.inner, self.back, self.plain_back = rebuilt(self.spec)
         self.own = sentencepiece.SentencePieceProcessor(model_file=path)
         texts = [p for p, _, kind in self.spec.pieces if kind == NORMAL]
         #: Texts may be cut before blanks and around line feeds if no piece reaches over such a place.
         self.cuts = self.spec.model == BPE and self.spec.dummy_prefix and not self.spec.squeeze and not self.spec.charsmap and not any(MARK in p.lstrip(MARK) or "\n" in p for p in texts)
-        self.control = np.array([i for i, (_, _, kind) in enumerate(self.spec.pieces) if kind == CONTROL], dtype=np.int64)
+        kinds = np.array([kind for _, _, kind in self.spec.pieces])
+        self.control, self.byte = kinds == CONTROL, kinds == BYTE
         from tokenizers import pre_tokenizers
 
         self.inner.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
@@ -195,9 +200,14 @@ class Codec:
 
     def decode(self, lists: list[np.ndarray]) -> list[str]:
         """Texts of ids, by the rebuilt decoder; control pieces have no text."""
-        if len(self.control):
-            lists = [x[~np.isin(x, self.control)] if np.isin(x, self.control).any() else x for x in lists]
-        return self.back.decode_batch([x.tolist() for x in lists], skip_special_tokens=False)
+        out: list[str] = [""] * len(lists)
+        lists = [x[~gone] if (gone := self.control[x]).any() else x for x in lists]
+        bytes_in = [bool(self.byte[x].any()) for x in lists]
+        for own, which in ((self.back, True), (self.plain_back, False)):
+            at = [i for i, b in enumerate(bytes_in) if b == which]
+            for i, text in zip(at, own.decode_batch([lists[i].tolist() for i in at], skip_special_tokens=False), strict=True):
+                out[i] = text
+        return out
 
 
 _codecs: dict[str, Codec] = {}

@@ -28,7 +28,7 @@ def folder(spark: SparkSession) -> str:
 def by_files(vox: DataFrame, kind: str, col: str, read: Callable[[SparkSession, str], DataFrame], **how) -> DataFrame:
     to = folder(vox.sparkSession)
     files.save_files(files.encoded(vox, kind, col, **how), to)
-    return read(vox.sparkSession, f"{to}/*.{kind}")
+    return read(vox.sparkSession, f"{to}/*.{ {'vtkb': 'vtk'}.get(kind, kind)}")
 
 
 def build(layers: Query, tissues: Query) -> dict[str, tuple[Query, str]]:
@@ -44,6 +44,8 @@ def build(layers: Query, tissues: Query) -> dict[str, tuple[Query, str]]:
     out["scan06_raw_floats"] = (lambda s, d: by_files(layers(s, d), "raw", "src", lambda s, p: raw(s, p, "f4")), "SELECT z, y, x, src FROM lay")
     for kind in ("mha", "nrrd", "gz", "vti"):
         out[f"scan12_volume_{kind}"] = (lambda s, d, kind=kind: by_files(zero(s, d), kind, "src", files.read_volumes).select("z", "y", "x", "src"), "SELECT CAST(z - 1 AS INT) AS z, y, x, src FROM lay")
+    for kind in ("vtk", "vtkb", "am"):
+        out[f"sink09_volume_{kind}"] = (lambda s, d, kind=kind: by_files(zero(s, d), kind, "src", files.read_volumes).select("z", "y", "x", "src"), "SELECT CAST(z - 1 AS INT) AS z, y, x, src FROM lay")
     out["scan13_volume_info"] = (
         lambda s, d: by_files(zero(s, d), "mha", "src", files.volume_info, spacing=(0.5, 1.0, 2.0)).select("w", "h", "n", "dx", "dy", "dz"),
         "SELECT CAST(max(x) + 1 AS INT) AS w, CAST(max(y) + 1 AS INT) AS h, CAST(max(z) AS INT) AS n, 0.5::DOUBLE AS dx, 1.0::DOUBLE AS dy, 2.0::DOUBLE AS dz FROM lay",

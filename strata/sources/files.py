@@ -81,7 +81,7 @@ def read_raw(spark: SparkSession, path: str | list[str], w: int, h: int, kind: s
 
 @operator("SCAN-11", "SCAN-12", "SCAN-13")
 def read_volumes(spark: SparkSession, path: str | list[str], z: tuple[int, int] | None = None, layer: str | None = None) -> DataFrame:
-    """(file, z, y, x, src) of MetaImage, NRRD, NIfTI, VTI or AVW files; only slices in ``z`` leave the reader."""
+    """(file, z, y, x, src) of MetaImage, NRRD, NIfTI, VTI, legacy VTK, AmiraMesh or AVW files; only slices in ``z`` leave the reader."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -357,7 +357,7 @@ def register_dataset(vox: DataFrame, name: str, like: DataFrame) -> None:
 @operator("SINK-03", "SINK-04", "SINK-05", "SINK-07", "SINK-08", "SINK-09", "SINK-17")
 def encoded(vox: DataFrame, kind: str, col: str = "src", spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), transform: list[float] | None = None, dtype: str = "f4") -> DataFrame:
     """(name, content): a file a slice (raw, bmp, png), made on the executors, or one of the whole volume (mha, nrrd,
-    gz for zipped NIfTI, vti)."""
+    gz for zipped NIfTI, vti, vtk and am as text, vtkb for binary vtk)."""
     from strata.grid import image
 
     def one_slice(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -370,7 +370,7 @@ def encoded(vox: DataFrame, kind: str, col: str = "src", spacing: tuple[float, f
         a = np.zeros(shape, dtype=dtype)
         a[pdf["z"], pdf["y"], pdf["x"]] = pdf[col]
         v = formats.Volume({col: a}, spacing, transform or list(formats.IDENTITY))
-        return pd.DataFrame({"name": [f"volume.{'nii.gz' if kind == 'gz' else kind}"], "content": [formats.WRITERS[kind](v)]})
+        return pd.DataFrame({"name": [f"volume.{ {'gz': 'nii.gz', 'vtkb': 'vtk'}.get(kind, kind)}"], "content": [formats.WRITERS[kind](v)]})
 
     rows = vox.select("z", "y", "x", col)
     if kind in ("raw", "bmp", "png"):

@@ -261,6 +261,73 @@ def write_vti(v: Volume) -> bytes:
     return f'<?xml version="1.0"?>\n<VTKFile type="ImageData" version="0.1" byte_order="LittleEndian"><ImageData WholeExtent="{extent}" Origin="{origin}" Spacing="{" ".join(repr(float(s)) for s in v.spacing)}"><Piece Extent="{extent}"><PointData>{arrays}</PointData></Piece></ImageData></VTKFile>'.encode()
 
 
+#: Types of the legacy VTK and AmiraMesh formats.
+VTK_TYPES = {"u1": "unsigned_char", "i1": "char", "u2": "unsigned_short", "i2": "short", "u4": "unsigned_int", "i4": "int", "f4": "float", "f8": "double"}
+AMIRA_TYPES = {"u1": "byte", "i2": "short", "u2": "ushort", "i4": "int", "f4": "float", "f8": "double"}
+
+
+def as_text(a: np.ndarray) -> str:
+    """Values a row of x a line, with the digits that give them back."""
+    return "\n".join(" ".join(map(str, row)) for row in a.reshape(-1, a.shape[-1]).astype(a.dtype.newbyteorder("="))) + "\n"
+
+
+def placed(spacing: list[float], origin: list[float]) -> dict:
+    transform = list(IDENTITY)
+    for i in range(3):
+        transform[4 * i + 3] = origin[i]
+    return {"spacing": tuple(spacing), "transform": transform}
+
+
+def write_vtk(v: Volume, text: bool = True) -> bytes:
+    """Legacy VTK structured points, as text or big-endian; the format has no rotation."""
+    a = v.first
+    name, kind = next(iter(v.layers)), VTK_TYPES[a.dtype.str[1:]]
+    origin = " ".join(repr(float(v.transform[4 * i + 3])) for i in range(3))
+    head = f"# vtk DataFile Version 3.0\nvolume\n{'ASCII' if text else 'BINARY'}\nDATASET STRUCTURED_POINTS\nDIMENSIONS {' '.join(map(str, a.shape[::-1]))}\nSPACING {' '.join(repr(float(x)) for x in v.spacing)}\nORIGIN {origin}\nPOINT_DATA {a.size}\nSCALARS {name} {kind} 1\nLOOKUP_TABLE default\n"
+    body = as_text(a).encode() if text else np.ascontiguousarray(a).astype(a.dtype.newbyteorder(">")).tobytes() + b"\n"
+    return head.encode() + body
+
+
+def read_vtk(data: bytes) -> Volume:
+    """The first scalars of legacy VTK structured points."""
+    start = re.search(rb"LOOKUP_TABLE\s+\S+[ \t]*\r?\n", data).end()
+    head = data[:start].decode("latin-1")
+
+    def field(key: str) -> list[str]:
+        return re.search(rf"^{key}\s+(.+?)\s*$", head, re.M)[1].split()
+
+    shape = tuple(map(int, field("DIMENSIONS")[::-1]))
+    name, kind = field("SCALARS")[:2]
+    dtype = next(np.dtype(k) for k, t in VTK_TYPES.items() if t == kind)
+    size = int(np.prod(shape))
+    text = head.split("\n")[2].strip() == "ASCII"
+    a = np.array(data[start:].split()[:size], dtype="f8").astype(dtype) if text else np.frombuffer(data, dtype.newbyteorder(">"), size, start)
+    return Volume({name: a.reshape(shape)}, **placed([float(x) for x in field("SPACING")], [float(x) for x in field("ORIGIN")]))
+
+
+def write_amira(v: Volume) -> bytes:
+    """AmiraMesh text with uniform coordinates; the box spans the centres of voxels."""
+    a = v.first
+    kind, sizes = AMIRA_TYPES[a.dtype.str[1:]], a.shape[::-1]
+    origin = [float(v.transform[4 * i + 3]) for i in range(3)]
+    box = " ".join(f"{o!r} {o + (m - 1) * float(s)!r}" for o, m, s in zip(origin, sizes, v.spacing, strict=True))
+    head = f'# AmiraMesh 3D ASCII 2.0\n\ndefine Lattice {" ".join(map(str, sizes))}\n\nParameters {{\n    Content "{"x".join(map(str, sizes))} {kind}, uniform coordinates",\n    BoundingBox {box},\n    CoordType "uniform"\n}}\n\nLattice {{ {kind} Data }} @1\n\n# Data section follows\n@1\n'
+    return head.encode() + as_text(a).encode()
+
+
+def read_amira(data: bytes) -> Volume:
+    """One lattice of AmiraMesh text; an axis of one voxel has spacing 1."""
+    start = re.search(rb"^@1[ \t]*\r?\n", data, re.M).end()
+    head = data[:start].decode("latin-1")
+    sizes = [int(x) for x in re.search(r"define Lattice (\d+) (\d+) (\d+)", head).groups()]
+    kind = re.search(r"Lattice \{ (\w+) ", head)[1]
+    dtype = next(np.dtype(k) for k, t in AMIRA_TYPES.items() if t == kind)
+    box = [float(x) for x in re.search(r"BoundingBox ([^,\n]+)", head)[1].split()]
+    spacing = [(box[2 * i + 1] - box[2 * i]) / (m - 1) if m > 1 else 1.0 for i, m in enumerate(sizes)]
+    a = np.array(data[start:].split()[: int(np.prod(sizes))], dtype="f8").astype(dtype)
+    return Volume({"src": a.reshape(sizes[::-1])}, **placed(spacing, box[::2]))
+
+
 def dicom_tags(data: bytes) -> dict[tuple[int, int], bytes]:
     """Values by tag of a little-endian file, explicit or implicit; sequences of undefined length are skipped."""
     at, explicit, out = (132 if data[128:132] == b"DICM" else 0), True, {}
@@ -320,8 +387,8 @@ def read_avw(data: bytes) -> Volume:
     return Volume({"src": np.frombuffer(data, order + kind, int(np.prod(shape)), start).reshape(shape)}, tuple(float(head.get(f"Voxel{k}", 1)) for k in ("Width", "Height", "Depth")))
 
 
-READERS = {"mhd": read_meta, "mha": read_meta, "nrrd": read_nrrd, "nii": read_nifti, "gz": read_nifti, "vti": read_vti, "avw": read_avw}
-WRITERS = {"mha": write_meta, "nrrd": write_nrrd, "gz": write_nifti, "vti": write_vti}
+READERS = {"mhd": read_meta, "mha": read_meta, "nrrd": read_nrrd, "nii": read_nifti, "gz": read_nifti, "vti": read_vti, "avw": read_avw, "vtk": read_vtk, "am": read_amira}
+WRITERS = {"mha": write_meta, "nrrd": write_nrrd, "gz": write_nifti, "vti": write_vti, "vtk": write_vtk, "vtkb": lambda v: write_vtk(v, text=False), "am": write_amira}
 
 
 def read_volume(name: str, data: bytes) -> Volume:

@@ -229,3 +229,14 @@ def test_tracking_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("tracked").count() == 6
+
+
+@pytest.mark.parametrize("dtype", ["u1", "i2", "f4", "f8"])
+@pytest.mark.parametrize("kind", ["vtk", "vtkb", "am"])
+def test_text_volumes_give_back_values_and_place(kind, dtype):
+    a = (np.arange(84).reshape(3, 7, 4) * (1 if dtype in ("u1", "i2") else 0.1)).astype(dtype)
+    transform = list(formats.IDENTITY)
+    transform[3], transform[7], transform[11] = 3.5, -10.0, 2.5
+    back = formats.read_volume("v.am" if kind == "am" else "v.vtk", formats.WRITERS[kind](formats.Volume({"src": a}, (0.5, 1.0, 2.0), transform)))
+    assert back.first.dtype.str[1:] == dtype and np.array_equal(back.first, a)
+    assert back.spacing == (0.5, 1.0, 2.0) and back.transform == transform

@@ -269,17 +269,21 @@ def level_set(vox: DataFrame, rounds: int, balloon: float = 1.0, smooth: float =
 @operator("GRAPH-28")
 def skeleton_graph(vox: DataFrame, col: str = "tgt") -> DataFrame:
     """(src, dst): flat indices of neighbouring voxels that are on. Pairs along an axis, then diagonals whose ends no
-    shorter steps join."""
+    shorter steps join. A task holds a slice and the next one."""
     from strata.operators.labels import undirected
 
+    size = vox.agg((F.max("y") + 1).cast("long").alias("h"), (F.max("x") + 1).cast("long").alias("w"))
+    on = vox.where(~F.col(col).eqNullSafe(0)).select("z", "y", "x")
+    pairs = on.select(F.explode(F.array(F.col("z") - 1, F.col("z"))).alias("at"), "z", "y", "x").crossJoin(F.broadcast(size))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = tuple(int(pdf[c].max()) + 1 for c in ("z", "y", "x"))
-        on = np.zeros(shape, dtype=bool)
-        p = pdf[pdf[col] != 0]
-        on[p["z"], p["y"], p["x"]] = True
-        return pd.DataFrame(K.skeleton_edges(on), columns=["src", "dst"])
+        z, h, w = (int(pdf[c].iloc[0]) for c in ("at", "h", "w"))
+        a = np.zeros((2, h, w), dtype=bool)
+        a[pdf["z"] - z, pdf["y"], pdf["x"]] = True
+        edges = K.skeleton_edges(a)
+        return pd.DataFrame(edges[edges[:, 0] < h * w] + z * h * w, columns=["src", "dst"])
 
-    return undirected(vox.select("z", "y", "x", col).groupBy().applyInPandas(run, "src long, dst long"))
+    return undirected(pairs.groupBy("at").applyInPandas(run, "src long, dst long"))
 
 
 @operator("GRAPH-29")

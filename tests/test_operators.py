@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +92,22 @@ def test_connectivity_graphs():
         assert len(kernels.skeleton_edges(on)) == n
 
 
+def test_skeleton_graph_of_full_slices(spark):
+    """All voxels on: the pairs along the axes, in seconds; and on a few voxels the rule, pair by pair."""
+    began = time.monotonic()
+    full = spark.range(7 * 64 * 64).selectExpr("CAST(id DIV 4096 + 1 AS INT) AS z", "CAST(id DIV 64 % 64 AS INT) AS y", "CAST(id % 64 AS INT) AS x", "1.0D AS tgt")
+    assert region.skeleton_graph(full).count() == 6 * 4096 + 2 * 7 * 63 * 64 and time.monotonic() - began < 60
+    rng = np.random.default_rng(3)
+    on = rng.random((5, 6, 7)) < 0.3
+    points = list(map(tuple, np.argwhere(on).tolist()))
+    apart = lambda p, q: sum(abs(a - b) for a, b in zip(p, q, strict=True))
+    near = lambda p, q: max(abs(a - b) for a, b in zip(p, q, strict=True)) == 1
+    flat = lambda p: int(np.ravel_multi_index(p, (5, *(np.argwhere(on)[:, 1:].max(0) + 1))))
+    want = {(flat(p), flat(q)) for p in points for q in points if p < q and near(p, q) and not any(near(p, r) and near(r, q) and max(apart(p, r), apart(r, q)) < apart(p, q) for r in points)}
+    df = spark.createDataFrame([(*p, 1.0) for p in points], "z int, y int, x int, tgt double")
+    assert sorted(map(tuple, region.skeleton_graph(df).collect())) == sorted(want)
+
+
 def test_connected_interpolation():
     a, b = np.zeros((512, 512), dtype=bool), np.zeros((512, 512), dtype=bool)
     a[200, 200], b[200, 250] = True, True

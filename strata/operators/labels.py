@@ -128,15 +128,26 @@ def add_marks(marks: DataFrame, new: DataFrame) -> DataFrame:
 @operator("JOIN-13")
 def match_objects(objects: DataFrame, cell: float, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """(z, id, next_id, score): for each object (z, id, cx, cy, size) of a slice the best of the next slice within
-    ``cell``. Centres are dealt into square cells of that width, so an object meets only neighbours."""
-    grid = objects.withColumns({"gx": F.floor(F.col("cx") / cell), "gy": F.floor(F.col("cy") / cell)})
+    ``cell``, ties by id. Centres are dealt into square cells of that width, so an object meets only neighbours. Objects
+    of one place and size have one answer, and only the smallest id of them can be one, so they meet as one."""
+    kinds = objects.groupBy("z", "cx", "cy", "size").agg(F.min("id").alias("next_id"))
+    gx, gy = F.floor(F.col("cx") / cell).alias("gx"), F.floor(F.col("cy") / cell).alias("gy")
+    places = kinds.groupBy("z", "cx", "cy").agg(F.collect_list(F.struct("size", "next_id")).alias("kinds"))
     near = F.explode(F.expr("transform(sequence(0, 8), i -> named_struct('dx', i % 3 - 1, 'dy', floor(i / 3) - 1))"))
-    asked = grid.withColumn("d", near).select("z", "id", "cx", "cy", "size", (F.col("gx") + F.col("d.dx")).alias("gx"), (F.col("gy") + F.col("d.dy")).alias("gy"))
-    nxt = grid.select((F.col("z") - 1).alias("z"), F.col("id").alias("next_id"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("size").alias("ns"), "gx", "gy")
+    asked = places.withColumn("d", near).select("z", "cx", "cy", F.col("kinds").alias("asked"), (gx + F.col("d.dx")).alias("gx"), (gy + F.col("d.dy")).alias("gy"))
+    nxt = places.select((F.col("z") - 1).alias("z"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), "kinds", gx, gy)
     apart = F.sqrt(F.pow(F.col("cx") - F.col("nx"), 2) + F.pow(F.col("cy") - F.col("ny"), 2))
-    met = asked.join(nxt, ["z", "gx", "gy"]).where(apart <= cell).withColumn("score", apart * weights[0] + F.abs(F.col("size") - F.col("ns")) * weights[1])
-    best = Window.partitionBy("z", "id").orderBy("score", "next_id")
-    return met.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("z", "id", "next_id", "score")
+    met = asked.hint("merge").join(nxt, ["z", "gx", "gy"]).withColumn("apart", apart).where(F.col("apart") <= cell)
+    each = met.select("z", "cx", "cy", F.explode(F.col("asked")["size"]).alias("size"), "apart", "kinds")
+
+    def scored(k: Column) -> Column:
+        score = F.col("apart") * weights[0] + F.abs(F.col("size") - k["size"]) * weights[1]
+        return F.struct(score.isNull().alias("none"), score.alias("score"), k["next_id"].alias("next_id"))
+
+    best = each.select("z", "cx", "cy", "size", F.array_min(F.transform("kinds", scored)).alias("b")).groupBy("z", "cx", "cy", "size").agg(F.min("b").alias("b"))
+    k, o = best.alias("k"), objects.alias("o")
+    same = (F.col("o.z") == F.col("k.z")) & (F.col("o.cx") == F.col("k.cx")) & (F.col("o.cy") == F.col("k.cy")) & F.col("o.size").eqNullSafe(F.col("k.size"))
+    return o.join(k.hint("merge"), same).groupBy("o.z", "o.id").agg(F.min("b").alias("b")).select("z", "id", "b.next_id", "b.score")
 
 
 def nearest_of(asked: DataFrame, given: DataFrame, cell: float) -> DataFrame:

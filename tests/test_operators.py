@@ -258,3 +258,19 @@ def test_text_volumes_give_back_values_and_place(kind, dtype):
     back = formats.read_volume("v.am" if kind == "am" else "v.vtk", formats.WRITERS[kind](formats.Volume({"src": a}, (0.5, 1.0, 2.0), transform)))
     assert back.first.dtype.str[1:] == dtype and np.array_equal(back.first, a)
     assert back.spacing == (0.5, 1.0, 2.0) and back.transform == transform
+
+
+def test_objects_of_one_place_meet_as_one(spark):
+    """A slice's 40,000 objects at one place, and few others: in seconds, as the few by all pairs."""
+    began = time.monotonic()
+    crowd = spark.range(80_000).selectExpr("CAST(id DIV 40000 AS INT) AS z", "id % 40000 AS id", "1.0D AS cx", "2.0D AS cy", "id % 3 AS size")
+    got = labels.match_objects(crowd, 3.0).groupBy("next_id", "score").count().collect()
+    assert sorted((r["next_id"], r["score"]) for r in got) == [(0, 0.0), (1, 0.0), (2, 0.0)] and time.monotonic() - began < 60
+    rng = np.random.default_rng(5)
+    few = [(int(z), i, float(x), float(y), int(s)) for i, (z, x, y, s) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 9, 200) / 2, rng.integers(0, 9, 200) / 2, rng.integers(0, 4, 200), strict=True))]
+    want = []
+    for z, i, x, y, s in few:
+        met = [(np.hypot(x - u, y - v) + abs(s - t), j) for c, j, u, v, t in few if c == z + 1 and np.hypot(x - u, y - v) <= 1.0]
+        want += [(z, i, min(met)[1])] if met else []
+    df = spark.createDataFrame(few, "z int, id long, cx double, cy double, size long")
+    assert sorted(tuple(r)[:3] for r in labels.match_objects(df, 1.0).collect()) == sorted(want)

@@ -274,3 +274,28 @@ def test_objects_of_one_place_meet_as_one(spark):
         want += [(z, i, min(met)[1])] if met else []
     df = spark.createDataFrame(few, "z int, id long, cx double, cy double, size long")
     assert sorted(tuple(r)[:3] for r in labels.match_objects(df, 1.0).collect()) == sorted(want)
+
+
+def test_thinning_of_many_slices_is_quick():
+    """40 slices in seconds; a point goes by the rule that looks at its block."""
+    rng = np.random.default_rng(6)
+
+    def plainly(on):
+        a, changed = np.pad(on, 1), True
+        while changed:
+            changed = False
+            for s in kernels.steps_of(on.ndim, False):
+                for p in np.argwhere(a & ~kernels.moved(a, s, False)).tolist():
+                    block = a[tuple(slice(v - 1, v + 2) for v in p)]
+                    if block.sum() > 2 and kernels.simple_point(block):
+                        a[tuple(p)], changed = False, True
+        return a[(slice(1, -1),) * on.ndim]
+
+    for shape in ((9, 12), (1, 7), (4, 5, 4)):
+        for share in (0.5, 0.8, 1.0):
+            on = rng.random(shape) < share
+            assert np.array_equal(kernels.thin(on), plainly(on))
+    began = time.monotonic()
+    for _ in range(40):
+        kernels.thin(rng.random((50, 64)) < 0.7)
+    assert time.monotonic() - began < 20

@@ -18,6 +18,8 @@ from strata.registry import operator
 VOX = "z int, y int, x int, src double, tgt double, tis int"
 #: Rows of the embeddings table that make a slice of the image view.
 ROWS = 50
+#: Size of its slices; the last one may have fewer rows.
+SHAPE = (ROWS, 64)
 
 
 def embedding_image(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,21 +67,22 @@ def to_voxels(slices: DataFrame) -> DataFrame:
     return cells.select("z", F.expr("CAST(i DIV w AS INT)").alias("y"), F.expr("CAST(i % w AS INT)").alias("x"), "c.src", "c.tgt", "c.tis")
 
 
-def image(pdf: pd.DataFrame, col: str, fill: float = 0) -> np.ndarray:
-    """A slice's column as an (h, w) array, from its first row and column to its last."""
+def image(pdf: pd.DataFrame, col: str, fill: float = 0, shape: tuple[int, int] = (0, 0)) -> np.ndarray:
+    """A slice's column as an (h, w) array, from its first row and column to its last, or at least of a shape."""
     y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-    out = np.full((int(y.max()) + 1, int(x.max()) + 1), fill, dtype=np.int64 if col == "tis" else np.float64)
+    out = np.full((max(int(y.max()) + 1, shape[0]), max(int(x.max()) + 1, shape[1])), fill, dtype=np.int64 if col == "tis" else np.float64)
     out[y, x] = pdf[col].to_numpy()
     return out
 
 
-def per_slice(vox: DataFrame, kernel: Callable[..., np.ndarray], inputs: list[str], output: str = "tgt") -> DataFrame:
-    """``vox`` with column ``output`` from a kernel of (h, w) arrays of the inputs. One task holds one slice."""
+def per_slice(vox: DataFrame, kernel: Callable[..., np.ndarray], inputs: list[str], output: str = "tgt", shape: tuple[int, int] | None = None) -> DataFrame:
+    """``vox`` with column ``output`` from a kernel of (h, w) arrays of the inputs. One task holds one slice. If slices
+    have a ``shape``, those with fewer voxels get it too, and NaN where no voxel is; a kernel's NaN becomes null."""
     columns = vox.columns if output in vox.columns else [*vox.columns, output]
     kind = dict(vox.dtypes).get(output, "double")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = kernel(*[image(pdf, c) for c in inputs])
+        out = kernel(*([image(pdf, c) for c in inputs] if shape is None else [image(pdf, c, np.nan, shape) for c in inputs]))
         pdf = pdf.assign(**{output: out[pdf["y"].to_numpy(), pdf["x"].to_numpy()]})
         return pdf[columns]
 

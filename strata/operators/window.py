@@ -62,23 +62,25 @@ def average(vox: DataFrame, n: int) -> DataFrame:
 
 
 @operator("WIN-05")
-def median(vox: DataFrame) -> DataFrame:
-    return per_slice(vox, K.median3, ["src"])
+def median(vox: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Median of the 3x3 window's voxels; the border, that of ``shape`` if given, keeps the source."""
+    return per_slice(vox, K.median3, ["src"], shape=shape)
 
 
 @operator("WIN-05")
-def interquartile(vox: DataFrame) -> DataFrame:
-    return per_slice(vox, K.interquartile3, ["src"])
+def interquartile(vox: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Null where a window has fewer than eight voxels."""
+    return per_slice(vox, K.interquartile3, ["src"], shape=shape)
 
 
 @operator("WIN-06")
-def sigma_filter(vox: DataFrame, sigma: float, nx: int, ny: int) -> DataFrame:
-    return per_slice(vox, lambda a, t: K.sigma_filter(a, t, sigma, nx, ny), ["src", "tgt"])
+def sigma_filter(vox: DataFrame, sigma: float, nx: int, ny: int, shape: tuple[int, int] | None = None) -> DataFrame:
+    return per_slice(vox, lambda a, t: K.sigma_filter(a, t, sigma, nx, ny), ["src", "tgt"], shape=shape)
 
 
 @operator("WIN-07")
-def moment(vox: DataFrame, n: int = 3, p: int = 2, sigma: float | None = None) -> DataFrame:
-    return per_slice(vox, lambda a: K.moment(a, n, p, sigma), ["src"])
+def moment(vox: DataFrame, n: int = 3, p: int = 2, sigma: float | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
+    return per_slice(vox, lambda a: K.moment(a, n, p, sigma), ["src"], shape=shape)
 
 
 @operator("WIN-08")

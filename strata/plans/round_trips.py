@@ -27,7 +27,8 @@ def folder(spark: SparkSession) -> str:
 
 def by_files(vox: DataFrame, kind: str, col: str, read: Callable[[SparkSession, str], DataFrame], **how) -> DataFrame:
     to = folder(vox.sparkSession)
-    files.save_files(files.encoded(vox, kind, col, **how), to)
+    if not files.save_files(files.encoded(vox, kind, col, **how), to) and not vox.isEmpty():
+        raise RuntimeError(f"no {kind} file of a table that has rows")
     return read(vox.sparkSession, f"{to}/*.{ {'vtkb': 'vtk'}.get(kind, kind)}")
 
 

@@ -380,15 +380,24 @@ def encoded(vox: DataFrame, kind: str, col: str = "src", spacing: tuple[float, f
 
 @operator("SINK-03", "SINK-04", "SINK-07")
 def save_files(files: DataFrame, folder: str) -> int:
-    """Write (name, content) as files of any file system Spark knows, one at a time; gives their number."""
+    """Write (name, content) as files of any file system Spark knows; gives their number. They are made once, kept in the
+    shared folder, and come to the driver a partition at a time; it is an error if any of them doesn't."""
+    from strata.operators.region import checkpoint_dir
+
     spark, n = files.sparkSession, 0
+    checkpoint_dir(spark)
+    kept = files.select("name", "content").checkpoint()
+    rows = kept.rdd
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for r in files.toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{r['name']}")
-        out = path.getFileSystem(conf).create(path, True)
-        out.write(bytearray(r["content"]))
-        out.close()
-        n += 1
+    for part in range(rows.getNumPartitions()):
+        for r in spark.sparkContext.runJob(rows, list, [part]):
+            path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{r['name']}")
+            out = path.getFileSystem(conf).create(path, True)
+            out.write(bytearray(r["content"]))
+            out.close()
+            n += 1
+    if n != kept.count():
+        raise RuntimeError(f"{n} of {kept.count()} files were written to {folder}")
     return n
 
 

@@ -299,3 +299,14 @@ def test_thinning_of_many_slices_is_quick():
     for _ in range(40):
         kernels.thin(rng.random((50, 64)) < 0.7)
     assert time.monotonic() - began < 20
+
+
+def test_no_file_is_missed(spark, tmp_path, monkeypatch):
+    """Files are made once and all arrive, whatever the local iterator yields; what is lost is an error."""
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda self, *a, **b: iter(()))
+    vox = spark.createDataFrame([(z, y, x, float(x + y + z), 0.0, 0) for z in range(5) for y in range(3) for x in range(4)], grid.VOX)
+    assert files.save_files(files.encoded(vox, "vtk"), str(tmp_path)) == 1 and files.read_volumes(spark, f"{tmp_path}/*.vtk").count() == 60
+    assert files.save_files(files.encoded(vox, "raw"), str(tmp_path)) == 5 and len(list(tmp_path.glob("*.raw"))) == 5
+    monkeypatch.setattr(spark.sparkContext, "runJob", lambda *a, **b: [])
+    with pytest.raises(RuntimeError, match="0 of 5 files"):
+        files.save_files(files.encoded(vox, "raw"), str(tmp_path))

@@ -310,3 +310,8 @@ def test_no_file_is_missed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(spark.sparkContext, "runJob", lambda *a, **b: [])
     with pytest.raises(RuntimeError, match="0 of 5 files"):
         files.save_files(files.encoded(vox, "raw"), str(tmp_path))
+
+
+def test_unassigned_value_follows_the_range(spark):
+    for values, want in (([0, 255], 127.5), ([255, 255], 0.0), ([0, 254], 255.0), ([0, 100, 255], 177.5)):
+        assert region.unassigned_value(row(spark, values, "tgt"), "tgt").first()[0] == want

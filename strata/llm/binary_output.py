@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strata.llm.chunks import PORTION, groups, plain, portions
-from strata.llm.common import shared_dir, small, stored, text_or_empty
+from strata.llm.common import kept, shared_dir, small, stored, text_or_empty
 from strata.llm.shingles import U, run_hashes
 
 SCHEMA = "doc_id long, part int, before long, ids array<int>"
@@ -38,8 +38,6 @@ BEYOND_LATIN = re.compile("[^\x00-\u02c1]")
 #: Pieces a worker remembers.
 REMEMBERED = 400_000
 
-_encoders: dict[str, Encoder] = {}
-
 
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte: itself if it is one, else the next from 256 on."""
@@ -155,9 +153,10 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    own = kept("binary_output")
+    if path not in own:
+        own[path] = Encoder(path)
+    return own[path]
 
 
 def id_lists(encoded: list[bytes]) -> pa.ListArray:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -20,6 +22,21 @@ ARROW_ROWS = "1000"
 
 _made: list[tuple[SparkSession, str]] = []
 
+_kept: dict[str, dict] = {}
+
+
+def kept(operator: str | None = None) -> dict:
+    """What this Python worker keeps between tasks for an operator. A worker outlives its stage, and the next stage's
+    tasks go through all idle ones, so what was kept for other operators is let go, and its memory given back."""
+    if others := [k for k in _kept if k != operator]:
+        for k in others:
+            del _kept[k]
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+        if trim:
+            trim(0)
+    return _kept.setdefault(operator, {}) if operator else {}
+
 
 def prepare(spark: SparkSession) -> None:
     """Python workers find this package, and Arrow batches stay small, for texts may be long."""

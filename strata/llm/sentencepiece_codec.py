@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.binary_output import id_lists
 from strata.llm.chunks import PORTION, Cache, groups, plain, portions
-from strata.llm.common import text_or_empty
+from strata.llm.common import kept, text_or_empty
 
 MARK = "▁"
 # Kinds of pieces and of models in the file.
@@ -210,13 +210,11 @@ class Codec:
         return out
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    own = kept("sentencepiece_codec")
+    if path not in own:
+        own[path] = Codec(path)
+    return own[path]
 
 
 def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+import weakref
+
+import pyarrow as pa
+
 import corpus_pipeline
-from strata.llm import language_id, parity_join
+from strata.llm import binary_output, language_id, parity_join, sentencepiece_codec
 
 
 def test_stages(spark, docs, texts, tmp_path):
@@ -26,3 +31,19 @@ def test_stages(spark, docs, texts, tmp_path):
 def test_run_on_an_empty_table(spark, empty, tmp_path):
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_worker_keeps_tables_of_one_operator(tokenizer_path):
+    class Rows:
+        def mapInArrow(self, handle, schema):
+            return list(handle(iter([pa.table({"set": [1], "text": ["a b c d"]}).to_batches()[0]])))
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    near = object.__new__(parity_join.ParityJoin)
+    near.k, near.sim = 3, parity_join.Similarity(90, 100)
+    for following in (lambda: binary_output.encoder(tokenizer_path("byte_bpe_50k.json")), lambda: near.cells(Rows(), False)):
+        codec = weakref.ref(sentencepiece_codec.codec(path))
+        assert sentencepiece_codec.codec(path) is codec()
+        following()
+        gc.collect()
+        assert codec() is None

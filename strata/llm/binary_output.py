@@ -6,6 +6,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-\u02c1", "0-9²³¹¼-¾"
 CUT_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
 BEYOND_LATIN = re.compile("[^\x00-\u02c1]")
 
+BLANKS = (" ", "\n")
+
 #: Pieces a worker remembers.
 REMEMBERED = 400_000
 
@@ -85,9 +88,18 @@ class Encoder:
         return bool(self.known and text and plain(text) and not (self.added and self.added.search(text)))
 
     def forget(self) -> None:
-        self.keys, self.check = np.zeros(0, dtype=U), np.zeros(0, dtype=U)
+        self.keys, self.check, self.again = np.zeros(0, dtype=U), np.zeros(0, dtype=U), np.zeros(0, dtype=bool)
         self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype="<i4")
 
+    def make_room(self) -> None:
+        """Forget the pieces that were not met again since the last time; all, if over half of them were."""
+        keep = self.again
+        if 2 * np.count_nonzero(keep) > len(keep):
+            return self.forget()
+        pool = gathered(self.pool, self.start[keep], self.length[keep])
+        self.keys, self.check, self.length = self.keys[keep], self.check[keep], self.length[keep]
+        self.start, self.pool, self.again = np.cumsum(self.length) - self.length, pool, np.zeros(len(self.keys), dtype=bool)
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
@@ -104,13 +116,17 @@ class Encoder:
     def encode_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, and how many each has."""
         cut = self.cut if BEYOND_LATIN.search("".join(new)) else CUT_LATIN
-        words = list(map(cut.findall, new))
-        place: dict[str, int] = {"\n": 0}
-        flat = np.array([place.setdefault(w, len(place)) for x in words for w in x], dtype=np.int64)
+        # The pattern cuts before white space that stands alone, so a piece that begins with it goes on in its forerunner's call.
+        alone = [p in BLANKS for p in new]
+        at = [0, *(i for i in range(1, len(new)) if alone[i] or alone[i - 1] or new[i][0] not in BLANKS), len(new)]
+        words = [w for a, b in pairwise(at) for w in cut.findall("".join(new[a:b]))]
+        place = {w: i for i, w in enumerate(dict.fromkeys(["\n", *words]))}
+        flat = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
         ids, lengths = self.encode_words(list(place)[1:])
         pool, lengths = np.concatenate([self.feed, ids]), np.concatenate([[len(self.feed)], lengths])
         ends = np.concatenate([[0], np.cumsum(lengths[flat])])
-        bounds = np.concatenate([[0], np.cumsum(list(map(len, words)))])
+        reach, size = (np.cumsum(np.fromiter(map(len, x), np.int64, len(x))) for x in (words, new))
+        bounds = np.concatenate([[0], np.searchsorted(reach, size) + 1])
         return gathered(pool, (np.cumsum(lengths) - lengths)[flat], lengths[flat]), np.diff(ends[bounds])
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -130,20 +146,22 @@ class Encoder:
         stops = np.append(starts[1:], len(data))
         one, two = run_hashes(data, starts, stops)
         if len(self.keys) > REMEMBERED:
-            self.forget()
+            self.make_room()
         keys, where, which = np.unique(one, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
         if (two[where][which] != two).any() or (self.check[at[known]] != two[where[known]]).any():
             return [self.whole(t.decode()) for t in texts]  # two pieces share a hash
+        self.again[at[known]] = True
         if not known.all():
             raw, fresh = data.tobytes(), where[~known]
             ids, lengths = self.encode_pieces([raw[a:b].decode() for a, b in zip(starts[fresh].tolist(), stops[fresh].tolist(), strict=True)])
             self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(lengths) - lengths])
             self.length, self.pool = np.concatenate([self.length, lengths]), np.concatenate([self.pool, ids])
             self.keys, self.check = np.concatenate([self.keys, keys[~known]]), np.concatenate([self.check, two[fresh]])
+            self.again = np.concatenate([self.again, np.zeros(len(fresh), dtype=bool)])
             order = np.argsort(self.keys, kind="stable")
-            self.keys, self.check, self.start, self.length = self.keys[order], self.check[order], self.start[order], self.length[order]
+            self.keys, self.check, self.again, self.start, self.length = (x[order] for x in (self.keys, self.check, self.again, self.start, self.length))
             at = np.searchsorted(self.keys, keys)
         at = at[which]
         lengths = self.length[at]

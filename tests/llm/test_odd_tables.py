@@ -85,6 +85,23 @@ def test_long_texts_in_portions(monkeypatch, portion, tokenizer_path):
         assert lang == whole[0] and score == pytest.approx(whole[1])
 
 
+def test_op1_pieces_met_again_stay_when_room_is_made(monkeypatch, tokenizer_path):
+    rng = random.Random(11)
+    own = binary_output.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    monkeypatch.setattr(binary_output, "REMEMBERED", 60)
+    texts = ["\n", " ", "a ", "it's\nwe'll it's", "x\n", " two'' 's", "é'ü 12ab", "日本 語 ab", "\na b"]
+    texts += [" ".join("".join(rng.choice("abc'.1é\n")[0] for _ in range(rng.randint(1, 5))) for _ in range(12)) for _ in range(60)]
+    for i in range(0, len(texts), 3):
+        assert own.encode(texts[i : i + 3]) == [own.whole(t) for t in texts[i : i + 3]]
+        assert own.encode(["some common words"]) == [own.whole("some common words")]
+    new = []
+    monkeypatch.setattr(own, "encode_pieces", lambda x, known=own.encode_pieces: new.extend(x) or known(x))
+    for i in range(20):
+        text = "some common words " + " ".join(f"w{i}x{j}" for j in range(30))
+        assert own.encode([text]) == [own.whole(text)]
+    assert len(own.keys) <= 60 + 33 and not {" common", " words"} & set(new)
+
+
 def test_op2_only_letters_make_a_language(spark, odd):
     rows, df = odd
     more = df.unionByName(spark.createDataFrame([(1001, "½ ²  ①", "de", "s", 1), (1002, "² a", "de", "s", 1)], DOCS))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strata.llm.chunks import PORTION, groups, plain, portions
-from strata.llm.common import kept, shared_dir, small, stored, text_or_empty
+from strata.llm.common import shared_dir, small, stored, text_or_empty, worker_tables
 from strata.llm.shingles import U, run_hashes
 
 SCHEMA = "doc_id long, part int, before long, ids array<int>"
@@ -171,7 +171,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    own = kept("binary_output")
+    own = worker_tables("binary_output")
     if path not in own:
         own[path] = Encoder(path)
     return own[path]

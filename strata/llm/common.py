@@ -25,7 +25,7 @@ _made: list[tuple[SparkSession, str]] = []
 _kept: dict[str, dict] = {}
 
 
-def kept(operator: str | None = None) -> dict:
+def worker_tables(operator: str | None = None) -> dict:
     """What this Python worker keeps between tasks for an operator. A worker outlives its stage, and the next stage's
     tasks go through all idle ones, so what was kept for other operators is let go, and its memory given back."""
     if others := [k for k in _kept if k != operator]:

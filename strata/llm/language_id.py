@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strata.llm.chunks import PORTION, groups, portions
-from strata.llm.common import fresh, kept
+from strata.llm.common import fresh, worker_tables
 from strata.llm.shingles import U, mix
 
 #: The model learns from the whole texts of at most this many documents of each language, those with the smallest hash.
@@ -164,7 +164,7 @@ def train(docs: DataFrame) -> Model:
     sample = near.withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= SAMPLE).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept()
+        worker_tables()
         by: dict[tuple[str, int], Counter] = defaultdict(Counter)
 
         def flush() -> pa.RecordBatch:
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, model: Model | None = None, names: tuple[str, str]
     at = held.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept()
+        worker_tables()
         own = sent.value
         for batch in batches:
             texts = batch.column(at).to_pylist()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strata.llm.chunks import groups
-from strata.llm.common import connected_components, free, fresh, kept, small, stored, text_or_empty
+from strata.llm.common import connected_components, free, fresh, small, stored, text_or_empty, worker_tables
 from strata.llm.shingles import U, mix, shingle_sets
 
 BAND_BITS = 8
@@ -152,7 +152,7 @@ class ParityJoin:
         k, sim = self.k, self.sim
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept()
+            worker_tables()
             for batch in batches:
                 texts = batch.column(2).to_pylist()
                 for a, b in groups(texts):
@@ -190,7 +190,7 @@ class ParityJoin:
         k, sim = self.k, self.sim
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept()
+            worker_tables()
             for batch in batches:
                 ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
                 for a, b in groups(texts):
@@ -227,7 +227,7 @@ class ParityJoin:
         k = self.k
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept()
+            worker_tables()
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 rows = [s.view(np.int64) for a, b in groups(texts) for s in shingle_sets([t.encode() for t in texts[a:b]], k)]
@@ -271,7 +271,7 @@ class ParityJoin:
         )
 
         def compare(table: pa.Table) -> pa.Table:
-            kept()
+            worker_tables()
             doc, label, n, blk = (table[c].to_numpy() for c in ("set", "label", "n", "blk"))
             words = table["words"].combine_chunks().flatten().to_numpy().view(U).reshape(len(doc), -1)
             i, j = table["i"][0].as_py(), table["j"][0].as_py()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.binary_output import id_lists
 from strata.llm.chunks import PORTION, Cache, groups, plain, portions
-from strata.llm.common import kept, text_or_empty
+from strata.llm.common import text_or_empty, worker_tables
 
 MARK = "▁"
 # Kinds of pieces and of models in the file.
@@ -211,7 +211,7 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    own = kept("sentencepiece_codec")
+    own = worker_tables("sentencepiece_codec")
     if path not in own:
         own[path] = Codec(path)
     return own[path]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import free, fresh, kept, small, stored, text_or_empty
+from strata.llm.common import free, fresh, small, stored, text_or_empty, worker_tables
 from strata.llm.shingles import U, _bytes, mix, powers
 
 LENGTH = 200
@@ -207,7 +207,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     ``row`` is unique. They overlap."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept()
+        worker_tables()
         for batch in batches:
             rows = batch.column(0).to_numpy()
             for data, starts, ends, number, offset in laid_out([t.encode() for t in batch.column(1).to_pylist()]):
@@ -224,7 +224,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     free(found, shared)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept()
+        worker_tables()
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for row, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -238,7 +238,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["sig", "row", "h", "at", "q", "c"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept()
+        worker_tables()
         for batch in batches:
             out: list[tuple] = []
             for row, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -256,7 +256,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["lead", "h", "left", "body", "c", "row", "at", "times"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept()
+        worker_tables()
         bucket = Bucket()
         for batch in batches:
             for lead, h, left, body, count, row, at, times in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -331,7 +331,7 @@ def removed(docs: DataFrame) -> DataFrame:
     """
 
     def handle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept()
+        worker_tables()
         for batch in batches:
             out = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -375,7 +375,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     at = names.index("text")
 
     def handle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept()
+        worker_tables()
         for batch in batches:
             out = []
             for text, spans in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):

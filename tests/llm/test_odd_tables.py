@@ -102,6 +102,49 @@ def test_op1_pieces_met_again_stay_when_room_is_made(monkeypatch, tokenizer_path
     assert len(own.keys) <= 60 + 33 and not {" common", " words"} & set(new)
 
 
+def test_op1_common_pieces_are_encoded_once(monkeypatch, tokenizer_path):
+    """Pieces met in every call stay remembered, also when they are over half of those that may be."""
+    monkeypatch.setattr(binary_output, "REMEMBERED", 512)
+    own = binary_output.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    common, new = "".join(f" c{i}" for i in range(280)), []
+    monkeypatch.setattr(own, "encode_pieces", lambda x, known=own.encode_pieces: new.extend(x) or known(x))
+    for i in range(12):
+        text = f"begin{common}" + "".join(f" n{i}x{j}" for j in range(240))
+        assert own.encode([text]) == [own.whole(text)]
+    assert sum(p[1] == "c" for p in new) < 4 * 280 and len(own.keys) <= 512
+
+
+def test_op1_odd_pieces_in_little_room(monkeypatch, tokenizer_path):
+    """Long, equal-looking and oddly spaced texts, remembered in little room, have the tokenizer's ids."""
+    own = binary_output.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    texts = [f"one{c}two {c}x" for c in spaces] + [f"{c}{c}" for c in spaces] + ["a", "a\0", "a\0\0", "", "\0" * 8, "\0" * 9, "<|endoftext|> a", "¿qué? «no»", "\u3001 \u3042"]
+    texts += ["x" * n + f" {'é' * n}\n{'ab' * n}" for n in (7, 8, 9, 15, 16, 17, 63, 64, 65, 400)]
+    texts += [" ".join("".join(rng.choice("abé1'.") for _ in range(rng.randint(1, 30))) for _ in range(40)) for _ in range(40)]
+    for room, ids in ((1, 10), (8, 100), (64, 1000), (1 << 12, 1 << 20)):
+        monkeypatch.setattr(binary_output, "REMEMBERED", room)
+        monkeypatch.setattr(binary_output, "REMEMBERED_IDS", ids)
+        for _ in range(2):
+            rng.shuffle(texts)
+            for i in range(0, len(texts), 7):
+                assert own.encode(texts[i : i + 7]) == [own.whole(t) for t in texts[i : i + 7]]
+    data = "".join(texts).encode()
+    starts = np.array(sorted(rng.sample(range(len(data)), 3000)))
+    stops = np.append(starts[1:], len(data))
+    pairs = set(zip(*(h.tolist() for h in binary_output.piece_hashes(data, starts, stops)), strict=True))
+    assert len(pairs) == len({data[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)})
+
+
+def test_op1_sizes_are_read_without_the_ids(spark, odd, tokenizer_path, tmp_path, monkeypatch):
+    """Only the checksums read the ids again."""
+    binary_output.write_token_ids(odd[1], str(tmp_path / "ids"), tokenizer_path("byte_bpe_50k.json"))
+    plans = []
+    monkeypatch.setattr(binary_output, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    binary_output.digest(binary_output.read_token_ids(spark, str(tmp_path / "ids")))
+    assert len(plans) == 1 and "Scan orc" in plans[0] and "ids:array" not in plans[0]
+
+
 def test_op2_only_letters_make_a_language(spark, odd):
     rows, df = odd
     more = df.unionByName(spark.createDataFrame([(1001, "½ ²  ①", "de", "s", 1), (1002, "² a", "de", "s", 1)], DOCS))

@@ -40,7 +40,7 @@ BEYOND_LATIN = re.compile("[^\x00-\u02c1]")
 BLANKS = (" ", "\n")
 
 #: Pieces a worker remembers at most, and of how many ids in all.
-REMEMBERED, REMEMBERED_IDS = 1 << 20, 1 << 23
+REMEMBERED, REMEMBERED_IDS = 1 << 19, 1 << 22
 #: Longer pieces are hashed byte by byte.
 LONG = 64
 
@@ -135,7 +135,8 @@ class Encoder:
         length = self.length[held]
         if 2 * int(length.sum(dtype=np.int64)) > REMEMBERED_IDS:
             return self.forget()
-        self.pool = gathered(self.pool, self.start[held].astype(np.int64), length.astype(np.int64))
+        start, parts = self.start[held].astype(np.int64), range(0, len(held), 1 << 14)
+        self.pool = np.concatenate([self.pool[:0], *(gathered(self.pool, start[a : a + (1 << 14)], length[a : a + (1 << 14)]) for a in parts)])
         self.start[held], self.filled = np.cumsum(length) - length, len(self.pool)
 
     def find(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +150,8 @@ class Encoder:
 
     def fill(self, ids: np.ndarray) -> None:
         if self.filled + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.filled], np.empty(max(self.filled, len(ids)), dtype="<i4")])
+            held, self.pool = self.pool[: self.filled], np.empty(self.filled + max(self.filled, len(ids)), dtype="<i4")
+            self.pool[: self.filled] = held
         self.pool[self.filled : self.filled + len(ids)] = ids
         self.filled += len(ids)
 
@@ -174,7 +176,8 @@ class Encoder:
         if not words:
             return np.zeros(0, dtype="<i4"), np.zeros(0, np.int64)
         lines = ["\n".join([*words[at : at + 100], ""]).encode().decode("latin-1").translate(self.letters) for at in range(0, len(words), 100)]
-        ids = np.concatenate([np.array(x.ids, dtype="<i4") for x in self.words.encode_batch_fast(lines, add_special_tokens=False)])
+        found = (x for at in range(0, len(lines), 20) for x in self.words.encode_batch_fast(lines[at : at + 20], add_special_tokens=False))
+        ids = np.concatenate([np.array(x.ids, dtype="<i4") for x in found])
         marks = np.flatnonzero(ids == self.mark)
         return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
 

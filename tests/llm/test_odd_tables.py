@@ -136,6 +136,19 @@ def test_op1_odd_pieces_in_little_room(monkeypatch, tokenizer_path):
     assert len(pairs) == len({data[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)})
 
 
+def test_op1_room_for_ids_is_bounded(monkeypatch, tokenizer_path):
+    """Room is made in slices: what it takes for a moment doesn't grow with what is remembered."""
+    monkeypatch.setattr(binary_output, "REMEMBERED_IDS", 400_000)
+    own, largest = binary_output.Encoder(tokenizer_path("byte_bpe_50k.json")), []
+    text = " ".join(f"w{i}" for i in range(40_000))
+    own.encode([text])
+    own.fill(np.zeros(400_000, dtype="<i4"))
+    monkeypatch.setattr(binary_output, "gathered", lambda pool, start, length, known=binary_output.gathered: largest.append(len(start)) or known(pool, start, length))
+    own.make_room()
+    assert largest and max(largest) <= 1 << 14 and own.filled == len(own.pool) <= 200_000
+    assert own.encode([text]) == [own.whole(text)]
+
+
 def test_op1_sizes_are_read_without_the_ids(spark, odd, tokenizer_path, tmp_path, monkeypatch):
     """Only the checksums read the ids again."""
     binary_output.write_token_ids(odd[1], str(tmp_path / "ids"), tokenizer_path("byte_bpe_50k.json"))
